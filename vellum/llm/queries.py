@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, quality
+from . import language, mixing, neardup, packing, quality, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,24 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_groups(*_near(spark, d)).withColumnRenamed("id", "doc_id")
 
 
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    """Records of documents and raw_documents with the columns of a slice."""
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("doc_id"), "source", "lang", F.col("domain").alias("topic"), "year", "text")
+    raw = table(spark, d, "raw_documents").select(F.lit("raw_documents").alias("tbl"), "doc_id", "source", F.col("language").alias("lang"), "topic", "year", "text")
+    return docs.unionByName(raw)
+
+
+SLICE = ["tbl", "source", "lang", "topic", "year"]
+
+
+def p2_document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(_both(spark, d), ["doc_id", *SLICE])
+
+
+def p2_token_totals(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_totals(p2_document_tokens(spark, d), SLICE)
+
+
 def _stats(spark: SparkSession, d: str, cols: list[str]) -> DataFrame:
     model = quality.fit_from_table(table(spark, d, "lang_refs"))
     return quality.quality_stats(table(spark, d, "documents"), model, cols)
@@ -43,6 +61,39 @@ def p5_source_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality.source_summary(_stats(spark, d, ["doc_id", "source"]))
 
 
+def _doc_tokens(spark: SparkSession, d: str, cols: list[str]) -> DataFrame:
+    return tokens.token_counts(table(spark, d, "documents"), cols)
+
+
+def _limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
+    row = table(spark, d, "size_limits").where(F.col("limit_name") == name).select("max_size", F.coalesce("overlap", F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_doc_tokens(spark, d, ["doc_id"]), ["doc_id"], _limit(spark, d, "pack_row")[0])
+
+
+def p7_packed_small(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_doc_tokens(spark, d, ["doc_id"]), ["doc_id"], _limit(spark, d, "pack_row_small")[0])
+
+
+def p7_fill_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, d), _limit(spark, d, "pack_row")[0])
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(_doc_tokens(spark, d, ["doc_id", "source"]), table(spark, d, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_share_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     refs = table(spark, d, "lang_refs")
     return language.language_segments(table(spark, d, "documents"), language.fit_from_table(refs), quality.fit_from_table(refs), ["doc_id"])

@@ -94,6 +94,7 @@ class Block:
     low: np.ndarray  # folded code points, clipped to 65536
     start: np.ndarray
     end: np.ndarray
+    data: str
     made: dict = field(default_factory=dict)
 
     @property
@@ -107,7 +108,7 @@ def block(texts: list[str]) -> Block:
     clip = np.minimum(cps, 65536)
     lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     start = np.concatenate([[0], np.cumsum(lens + 1)])[:-1].astype(np.int64)
-    return Block(cps, clip, class_table()[clip], fold_table()[clip], start, start + lens)
+    return Block(cps, clip, class_table()[clip], fold_table()[clip], start, start + lens, data)
 
 
 def split_by_size(items: Iterable[tuple], size_of, limit: int = BATCH_CHARS) -> Iterator[list[tuple]]:

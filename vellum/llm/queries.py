@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neardup, packing, quality, tokens
+from . import chunking, instruct, language, mixing, neardup, packing, quality, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,31 @@ def p2_token_totals(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_totals(p2_document_tokens(spark, d), SLICE)
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    size, overlap = _limit(spark, d, "physics_chunk")
+    return chunking.chunked(table(spark, d, "physics_books"), "book_filename", size, overlap)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.stretches(_chunks(spark, d), "book_filename").select("book_filename", "start_char").distinct()
+
+
+def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.pieces(_chunks(spark, d), "book_filename")
+
+
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return instruct.pair_defects(table(spark, d, "instruct_pairs"), language.fit_from_table(table(spark, d, "lang_refs")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).where("defect is not null").distinct()
+
+
+def p4_pair_status(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).withColumn("status", F.coalesce("defect", F.lit("sound"))).drop("defect")
+
+
 def _stats(spark: SparkSession, d: str, cols: list[str]) -> DataFrame:
     model = quality.fit_from_table(table(spark, d, "lang_refs"))
     return quality.quality_stats(table(spark, d, "documents"), model, cols)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, instruct, language, mixing, neardup, packing, quality, tokens
+from . import chunking, instruct, language, mixing, neardup, packing, quality, scan, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,20 @@ def p5_source_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality.source_summary(_stats(spark, d, ["doc_id", "source"]))
 
 
+def _scanned(spark: SparkSession, d: str, cols: list[str]) -> DataFrame:
+    raw = table(spark, d, "raw_documents")
+    model = language.fit_from_table(table(spark, d, "lang_refs"))
+    return scan.scanned(raw, scan.vocabulary(raw, model=model), cols, model=model)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan.line_rows(_scanned(spark, d, ["doc_id"]))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan.repairs(_scanned(spark, d, ["doc_id", "ocr_score"]))
+
+
 def _doc_tokens(spark: SparkSession, d: str, cols: list[str]) -> DataFrame:
     return tokens.token_counts(table(spark, d, "documents"), cols)
 

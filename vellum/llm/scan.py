@@ -125,6 +125,14 @@ def _alike(a: str, b: str, floor: float) -> bool:
     return m.real_quick_ratio() >= floor and m.quick_ratio() >= floor and m.ratio() >= floor
 
 
+def _caps_near(lines: list[str], i: int) -> bool:
+    """The line right before ends, or the one right after begins, in capitals too: a passage in capitals."""
+    near = [lines[i - 1].split()[-2:]] if i else []
+    if i + 1 < len(lines):
+        near.append(lines[i + 1].split()[:2])
+    return any(sum(w.isupper() and len(w) > 1 for w in part) >= min(2, len(part)) for part in near if part)
+
+
 def line_kinds(lines: list[str], title: str | None) -> list[str]:
     """blank, page_number, header, heading or text for every line."""
     kinds = ["text"] * len(lines)
@@ -162,6 +170,8 @@ def line_kinds(lines: list[str], title: str | None) -> list[str]:
             continue
         elif len(norm) < 4 or "," in core or len(norm) > 45:
             continue
+        elif core.isupper() and not beside and not again and (len(core.split()) > 14 or core.split()[-1].lower().strip(".") in FUNCTION_WORDS or _caps_near(lines, i)):
+            continue
         elif again or beside or core.isupper() or broken and len(core.split()) <= 4 and not core.rstrip().endswith("."):
             kinds[i] = "header"
         elif norm and core.strip().endswith(".") is False and len(core.split()) <= 8 and (i == 0 or kinds[i - 1] == "blank") and (i + 1 == len(lines) or kinds[i + 1] == "blank"):

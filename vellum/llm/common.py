@@ -1,28 +1,7 @@
-"""Shared plumbing: reliable checkpoints and table access."""
+"""Shared plumbing of the core library, under the names used here."""
 
 from __future__ import annotations
 
-import tempfile
+from ..functions.runtime import checkpoint_dir, checkpointed, table
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a local folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured is None and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vellum-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder, so that a lost executor costs no recomputation of the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpoint_dir", "checkpointed", "table"]

@@ -1,13 +1,12 @@
-"""Deduplication: exact with first-wins, prefix keys, shortest answer, greedy near duplicates within a group."""
+"""Deduplication: exact with first-wins, prefix keys, shortest answer, near duplicates within a group."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import edit_ratio
+
 
 def first_by(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
     """The first row, in ``order``, of each key; null keys are one key."""
@@ -26,27 +25,23 @@ def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull()).select(text_col).distinct()
 
 
-def greedy_near(df: DataFrame, group_col: str, id_col: str, text_col: str, size_col: str, floor: float = 0.6, prefix: int = 400) -> DataFrame:
-    """Kept rows of each group in id order: a row alike to a kept one goes, or takes its place if larger.
+def near_within(df: DataFrame, group_col: str, id_col: str, text_col: str, size_col: str, floor: float = 0.6, prefix: int = 400, bands: int = 24) -> DataFrame:
+    """group, id of the rows of each group to which no alike row of the group is preferred.
 
-    Order decides the result, so a group is one task; groups are the reference's books, whose rows
-    a size limit bounds. Likeness is difflib's ratio of the first ``prefix`` characters, a feature
-    of this operator. Null texts count as empty.
+    The larger row is preferred, of equal ones that of the lesser id; so the result needs no order of
+    visits. Likeness is the matching-block ratio of the first ``prefix`` characters, a feature of the
+    operator; equal beginnings meet once. Candidates share a band of two MinHashes of word pairs, so a
+    group of any size is compared by bands, not in one task. Null texts count as empty.
     """
-    schema = df.select(group_col, id_col).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for row in pdf.sort_values(id_col)[[id_col, text_col, size_col]].itertuples(index=False):
-            text = (row[1] or "")[:prefix]
-            for i, (_, other, size) in enumerate(kept):
-                m = SequenceMatcher(None, text, other)
-                if m.real_quick_ratio() > floor and m.quick_ratio() > floor and m.ratio() > floor:
-                    if row[2] > size:
-                        kept[i] = (row[0], text, row[2])
-                    break
-            else:
-                kept.append((row[0], text, row[2]))
-        return pd.DataFrame({group_col: [pdf[group_col].iloc[0]] * len(kept), id_col: [k[0] for k in kept]})
-
-    return df.select(group_col, id_col, text_col, size_col).groupBy(group_col).applyInPandas(run, schema)
+    rows = df.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.substring(F.coalesce(text_col, F.lit("")), 1, prefix).alias("t"), F.col(size_col).alias("n"))
+    best = rows.groupBy("g", "t").agg(F.max(F.struct(F.col("n"), (-F.col("id")).alias("m"))).alias("b")).select("g", "t", "b.n", (-F.col("b.m")).alias("id"))
+    words = F.split(F.lower("t"), r"\s+")
+    pairs = F.array_distinct(F.zip_with(words, F.slice(words, 2, 10_000), lambda a, b: F.concat_ws(" ", a, b)))
+    least = lambda seed: F.array_min(F.transform(pairs, lambda w: F.xxhash64(F.lit(seed), w)))
+    banded = best.withColumn("band", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.hash(least(2 * i), least(2 * i + 1)).alias("h")) for i in range(bands)])))
+    a = banded.select("g", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("t").alias("tx"))
+    b = banded.select("g", "band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("t").alias("ty"))
+    better = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+    near = a.join(b, ["g", "band"]).where(better).select("g", "x", "y", "tx", "ty").dropDuplicates(["g", "x", "y"])
+    worse = near.where(edit_ratio("tx", "ty") > floor).select("g", F.col("x").alias("id")).distinct()
+    return best.select("g", "id").join(worse, ["g", "id"], "left_anti").select(F.col("g").alias(group_col), F.col("id").alias(id_col))

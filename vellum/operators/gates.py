@@ -23,8 +23,22 @@ def report(df: DataFrame, reason: Column, chars: Column) -> DataFrame:
     return df.select(F.coalesce(reason, F.lit("kept")).alias("reason"), chars.alias("n")).groupBy("reason").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chars"))
 
 
+def fused(terms: tuple[str, ...]) -> str:
+    """One pattern that matches where any term does: terms at word starts share the boundary test and
+    are grouped by their first letter, so a position tries only the terms that can begin there."""
+    by: dict[str, list[str]] = {}
+    rest = []
+    for p in terms:
+        if p.startswith(r"\b") and p[2:4].isalpha() and "|" not in p.split("(")[0]:
+            by.setdefault(p[2].lower(), []).append(p[3:])
+        else:
+            rest.append(p)
+    heads = "|".join(f"{a}(?:{'|'.join(f'(?:{x})' for x in tails)})" for a, tails in sorted(by.items()))
+    return "|".join([*([rf"\b(?:{heads})"] if heads else []), *(f"(?:{p})" for p in rest)])
+
+
 def any_of(c: Column, terms: tuple[str, ...], flags: str = "(?i)(?d)") -> Column:
-    return c.rlike(flags + "|".join(f"(?:{p})" for p in terms))
+    return c.rlike(flags + fused(terms))
 
 
 def hits(c: Column, terms: tuple[str, ...], flags: str = "(?i)(?d)") -> Column:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.runtime import with_index
 
@@ -17,7 +18,7 @@ BROADCAST_BYTES = 8 << 20
 def small(df: DataFrame) -> DataFrame:
     """Hint a broadcast if the optimizer's size of the side is below the bound."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if size.longValue() <= BROADCAST_BYTES else df
+    return F.broadcast(df) if int(size) <= BROADCAST_BYTES else df
 
 
 def recover(texts: DataFrame, full: DataFrame, text_col: str, order: list[Column]) -> DataFrame:
@@ -80,7 +81,7 @@ def merge_best(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
     return a.join(other, key, "full").withColumn(score, F.greatest(score, "__s")).drop("__s")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block likeness of two strings from 0 to 1."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

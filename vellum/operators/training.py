@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import clean
 
@@ -145,7 +146,7 @@ def calculate(s: str, power: bool = False) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def numeric_value(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else value_of(x)).astype("float64")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clean import once
 from .joins import edit_ratio
 
 
@@ -25,7 +26,7 @@ def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull()).select(text_col).distinct()
 
 
-def near_within(df: DataFrame, group_col: str, id_col: str, text_col: str, size_col: str, floor: float = 0.6, prefix: int = 400, bands: int = 24) -> DataFrame:
+def near_within(df: DataFrame, group_col: str, id_col: str, text_col: str, size_col: str, floor: float = 0.6, prefix: int = 400, bands: int = 16) -> DataFrame:
     """group, id of the rows of each group to which no alike row of the group is preferred.
 
     The larger row is preferred, of equal ones that of the lesser id; so the result needs no order of
@@ -37,8 +38,9 @@ def near_within(df: DataFrame, group_col: str, id_col: str, text_col: str, size_
     best = rows.groupBy("g", "t").agg(F.max(F.struct(F.col("n"), (-F.col("id")).alias("m"))).alias("b")).select("g", "t", "b.n", (-F.col("b.m")).alias("id"))
     words = F.split(F.lower("t"), r"\s+")
     pairs = F.array_distinct(F.zip_with(words, F.slice(words, 2, 10_000), lambda a, b: F.concat_ws(" ", a, b)))
-    least = lambda seed: F.array_min(F.transform(pairs, lambda w: F.xxhash64(F.lit(seed), w)))
-    banded = best.withColumn("band", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.hash(least(2 * i), least(2 * i + 1)).alias("h")) for i in range(bands)])))
+    least = lambda p, seed: F.array_min(F.transform(p, lambda w: F.xxhash64(F.lit(seed), w)))
+    hashes = once(pairs, lambda p: F.array(*[F.struct(F.lit(i).alias("i"), F.hash(least(p, 2 * i), least(p, 2 * i + 1)).alias("h")) for i in range(bands)]))
+    banded = best.withColumn("band", F.explode(hashes))
     a = banded.select("g", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("t").alias("tx"))
     b = banded.select("g", "band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("t").alias("ty"))
     better = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))

@@ -265,7 +265,7 @@ def emissions(f: dict[str, np.ndarray]) -> np.ndarray:
     listing = listing + 0.8 * (short & ~f["stop"] & (f["n_words"] >= 1)) + 0.5 * fluent - 1.5 * num * ~(index_line | toc_line) - 1.0 * (f["n_tok"] > 30)
     listing -= 8.0 * np.clip(garbled - 0.25, 0, 1) + 7.0 * np.clip(sym - 0.25, 0, 1) + 4.0 * rep * ~f["mark"]
 
-    grid = (f["spaced_pipe"] >= 2) & (lone < 0.42) | (f["gaps"] >= 2) & (f["n_tok"] >= 3) & (garbled < 0.25) | (f["tight_semis"] >= 2) & (f["semis"] * 9 >= f["n_tok"]) & (garbled < 0.25) & (sym < 0.08) & ((f["pair"] > -4.3) | (f["digit"] * 2 > f["letter"]))
+    grid = (f["spaced_pipe"] >= 2) & (lone < 0.42) & ((solid > 2.6 * tok) | (f["digit"] * 3 > f["letter"])) | (f["gaps"] >= 2) & (f["n_tok"] >= 3) & (garbled < 0.25) | (f["tight_semis"] >= 2) & (f["semis"] * 9 >= f["n_tok"]) & (garbled < 0.25) & (sym < 0.08) & ((f["pair"] > -4.3) | (f["digit"] * 2 > f["letter"]))
     strange = (f["n_words"] >= 6) & (fw < 0.07) & ~run_in & ~grid & ~f["mark"]
     figures = f["n_num"] + f["n_dash"]
     inline_cells = (f["semis"] >= 2) & (figures >= f["semis"]) & (f["tight_semis"] == 0) | (f["semis"] >= 1) & (f["n_colon"] == 1) & (figures >= 1) & (f["n_tok"] <= 3 * f["semis"] + 5)
@@ -276,7 +276,7 @@ def emissions(f: dict[str, np.ndarray]) -> np.ndarray:
 
     junk = 7.0 * np.clip(sym - 0.12, 0, 0.5) + 7.0 * np.clip(garbled - 0.25, 0, 0.5) - 1.0 * fluent + 6.0 * rep * (f["n_tok"] >= 3)
     junk += 2.0 * (letters < 0.3) * (num < 0.3) - 5.0 * np.clip(fw, 0, 0.25) - 0.5
-    junk -= 2.5 * number_row + 3.0 * (f["spaced_pipe"] >= 2) * (sym < 0.6)
+    junk -= 2.5 * number_row + 3.0 * (f["spaced_pipe"] >= 2) * (sym < 0.6) * (solid > 2.2 * tok)
     prose = prose - 4.5 * strange - 4.0 * f["entry"] - 9.0 * np.clip(lone - 0.55, 0, 0.5) - 6.0 * (rep > 0.6)
     junk = junk + 2.0 * strange + 5.0 * np.clip(lone - 0.55, 0, 0.5)
     listing = listing - 9.0 * np.clip(lone - 0.55, 0, 0.5)

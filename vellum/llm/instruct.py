@@ -55,6 +55,8 @@ TERMINAL = re.compile("[.!?…][\"'”’“»›)\\]}]*$")
 CLOSED = re.compile("(?:[”»)\\]}]|\\\\(?:answer|boxed)\\{[^{}]*\\})$")
 ITEM = re.compile(r"^\s*(?:[-*•–—·+]|\(?\w{1,4}[.)])\s+\S")
 HANGING = frozenset("the a an of to and or but that which with for in on at by from as than his her its their our my your this these those such every is was were are be been had has have may might must not no who whose when while where because since if le la les un une des du de et ou que qui dans pour par sur avec der die das ein eine und oder den dem des mit von zu el los las y o con por il lo gli e di che per una het een en van op met dat et cum ad qui quae quod".split())
+#: Words that begin a clause, so that a few words after them are no whole answer.
+OPENERS = frozenset("what if as no nor let it there having when while whereas although because since thus how that's".split())
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -113,7 +115,10 @@ def is_truncated(answer: str) -> bool:
         items = [x for x in lines[:-1] if ITEM.match(x)]
         stops = sum(1 for x in items if TERMINAL.search(x.strip()))
         return bool(items) and stops == len(items)
-    return len(WORD.findall(text)) > 8 and (len(words) > 8 or any(TERMINAL.search(x.strip()) for x in lines) or len(lines) == 1)
+    n = len(WORD.findall(text))
+    if 4 < n <= 8 and len(lines) == 1 and ("," in text or words[0].lower() in OPENERS):
+        return True
+    return n > 8 and (len(words) > 8 or any(TERMINAL.search(x.strip()) for x in lines) or len(lines) == 1)
 
 
 QUOTED = re.compile("“[^”]*”|«[^»]*»|\"[^\"\n]*\"|\\\\(?:answer|boxed)\\{[^{}]*\\}?")

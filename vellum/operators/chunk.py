@@ -101,3 +101,51 @@ def split_messages(content: Column, limit: int = 8000) -> Column:
         return s.map(lambda t: [] if t is None else message_parts(t, limit))
 
     return cut(content)
+
+
+def overlapping(text: str, size: int, overlap: int) -> list[str]:
+    """Paragraphs in windows of about ``size`` characters, each begun with the last paragraphs of the one before, up to ``overlap``."""
+    out: list[str] = []
+    held: list[str] = []
+    fresh = 0
+    for p in (x.strip() for x in text.split("\n\n")):
+        if not p:
+            continue
+        if fresh and sum(map(len, held)) + len(p) > size:
+            out.append("\n\n".join(held))
+            tail: list[str] = []
+            while held and sum(map(len, tail)) + len(held[-1]) <= overlap:
+                tail.insert(0, held.pop())
+            held, fresh = tail, 0
+        held.append(p)
+        fresh += 1
+    return out + ["\n\n".join(held)] if fresh else out
+
+
+def excerpt(text: str, key: str, limit: int = 4000, least: int = 2000) -> str:
+    """The text if short; else from a paragraph chosen by the key, at least ``least`` characters, cut to its last sentence end."""
+    if len(text) <= limit:
+        return text
+    import hashlib
+
+    starts = [0, *(m.end() for m in re.finditer(r"\n\n", text) if len(text) - m.end() >= least)]
+    at = starts[int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % len(starts)]
+    part = text[at : at + limit]
+    end = part.rfind(". ")
+    return part[: end + 1] if end >= least else part
+
+
+def overlapping_windows(df: DataFrame, id_col: str, text_col: str = "text", size: int = 20_000, overlap: int = 2000) -> DataFrame:
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [] if t is None else overlapping(t, size, overlap))
+
+    return df.select(id_col, F.posexplode(cut(F.col(text_col))).alias("chunk_idx", "chunk"))
+
+
+def excerpts(text: Column, key: Column, limit: int = 4000, least: int = 2000) -> Column:
+    @F.pandas_udf("string")
+    def cut(s: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else excerpt(t, str(x), limit, least) for t, x in zip(s, k)], dtype=object)
+
+    return cut(text, key)

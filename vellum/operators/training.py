@@ -7,6 +7,7 @@ import math
 import operator
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -157,3 +158,50 @@ def equivalent(a: Column, b: Column) -> Column:
     u, v = numeric_value(x), numeric_value(y)
     close = F.abs(u - v) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(u), F.abs(v))
     return F.when(a.isNull() | b.isNull(), None).otherwise((F.trim(a) == F.trim(b)) | (x == y) | F.coalesce(close, F.lit(False)))
+
+
+#: Special tokens of rendered conversations, numbered after the vocabulary.
+SPECIAL = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>")
+
+
+def _encoder(ranks: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("vellum-core", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def rendered(df: DataFrame, id_col: str, messages_col: str, ranks: str, limit: int = 2048, pattern: str = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""") -> DataFrame:
+    """id, ids, mask of conversations: a leading system message joins the first user turn, answers and their end are supervised, cut at ``limit``."""
+    schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        enc = _encoder(ranks, pattern)
+        base = enc.max_token_value + 1
+        for convs in batches:
+            out = []
+            for ms in convs:
+                turns = [(m["role"], m["content"] or "") for m in ms] if ms is not None else []
+                if len(turns) > 1 and turns[0][0] == "system" and turns[1][0] == "user":
+                    turns[:2] = [("user", f"{turns[0][1]}\n\n{turns[1][1]}")]
+                ids, mask = [base], [0]
+                for role, text in turns:
+                    own = int(role == "assistant")
+                    body = enc.encode_ordinary(text)
+                    ids += [base + (3 if own else 1), *body, base + (4 if own else 2)]
+                    mask += [0, *[own] * len(body), own]
+                out.append((ids[:limit], mask[:limit]))
+            yield pd.DataFrame(out, columns=["ids", "mask"])
+
+    def render(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return run(batches)
+
+    return df.select(id_col, F.pandas_udf(render, schema)(F.col(messages_col)).alias("r")).select(id_col, "r.ids", "r.mask")
+
+
+def share_of_golds(answer: Column, golds: Column) -> Column:
+    """Share of the gold answers that one answer equals; 0 without an answer or golds."""
+    return F.when(answer.isNull() | (F.size(golds) == 0), 0.0).otherwise(F.size(F.filter(golds, lambda g: F.trim(g) == F.trim(answer))) / F.size(golds))

@@ -176,3 +176,71 @@ def m13_few_shot(spark, d):
 def t08_token_estimates(spark, d):
     t = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.octet_length(t).alias("n_bytes"), F.ceil(F.length(t) / 4.2).alias("tokens_42"), F.floor(F.length(t) / 4).alias("tokens_4"))
+
+
+@query()
+def x04_overlapping_windows(spark, d):
+    return chunk.overlapping_windows(table(spark, d, "physics_books"), "book_filename", size=6000, overlap=1200).select("book_filename", "chunk_idx", F.length("chunk").alias("n_chars"))
+
+
+@query()
+def x07_excerpts(spark, d):
+    return table(spark, d, "physics_books").select("book_filename", F.length(chunk.excerpts(F.col("text"), F.col("book_filename"))).alias("n_chars"))
+
+
+@query()
+def t03_rendered(spark, d):
+    from ..operators import training
+
+    r = training.rendered(table(spark, d, "instruct_pairs"), "conv_id", "messages", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    return r.select("conv_id", F.size("ids").alias("n_ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_supervised"))
+
+
+@query("select conv_id, round(cast((conv_id % 10)::varchar = (conv_id % 7)::varchar as int) * 0.5 + cast((conv_id % 10)::varchar = (conv_id % 3)::varchar as int) * 0.5, 6)::double as reward from (select distinct conv_id from instruct_pairs)")
+def r02_multi_reward(spark, d):
+    from ..operators import training
+
+    c = table(spark, d, "instruct_pairs").select("conv_id").distinct()
+    part = lambda k: (F.col("conv_id") % k).cast("string")
+    return c.select("conv_id", training.share_of_golds(part(10), F.array(part(7), part(3))).alias("reward"))
+
+
+@query("select user_id, count(*) as n, round(avg(cast(upper(substr(event_type, 1, 1)) = 'C' as int)), 6) as accuracy from events group by 1")
+def r04_letter_accuracy(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg((F.upper(F.substring("event_type", 1, 1)) == "C").cast("int")), 6).alias("accuracy"))
+
+
+_FORM = r"case when l_linenumber = 1 then 'number' when l_linenumber = 2 then 'fraction' else 'symbolic' end"
+
+
+@query(f"select key, form from (select key, form, row_number() over (order by case form when 'number' then 0 when 'fraction' then 1 else 2 end, md5(key), key) as i, row_number() over (partition by form order by md5(key), key) as j from (select l_orderkey || '-' || l_linenumber as key, {_FORM} as form from lineitem)) where i <= 20000 - 100 or (form = 'symbolic' and j <= 100)")
+def m11_priority_fill(spark, d):
+    n = F.col("l_linenumber")
+    form = F.when(n == 1, "number").when(n == 2, "fraction").otherwise("symbolic")
+    li = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), form.alias("form"))
+    rank = F.when(F.col("form") == "number", 0).when(F.col("form") == "fraction", 1).otherwise(2)
+    ordered = with_index(li.withColumn("rank", rank).withColumn("h", F.md5("key")), "rank", "h", "key")
+    first = ordered.where("rank = 2").agg(F.min("idx").alias("first"))
+    return ordered.join(F.broadcast(first), F.lit(True)).where((F.col("idx") < 20_000 - 100) | ((F.col("rank") == 2) & (F.col("idx") < F.col("first") + 100))).select("key", "form")
+
+
+@query("select p_partkey, i <= 515 as picked from (select p_partkey, row_number() over (order by md5(p_partkey::varchar), p_partkey) as i from part)")
+def m12_exact_split(spark, d):
+    p = with_index(table(spark, d, "part").select("p_partkey").withColumn("h", F.md5(F.col("p_partkey").cast("string"))), "h", "p_partkey")
+    return p.select("p_partkey", (F.col("idx") < 515).alias("picked"))
+
+
+@query("select event_id, (list_value('plain', 'plain', 'terse', 'ornate'))[('0x' || substr(md5('0|' || event_id), 1, 4))::int % 4 + 1] as manner from events")
+def m14_weighted_choice(spark, d):
+    pick = F.pmod(sampling.chance(F.col("event_id")), F.lit(4)) + 1
+    return table(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, ("plain", "plain", "terse", "ornate"))), pick).alias("manner"))
+
+
+@query()
+def a25_two_components(spark, d):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    e = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", "label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    out = PCA(k=2, inputCol="v", outputCol="p").fit(e).transform(e)
+    return out.select("vec_id", "label", F.round(vector_to_array("p")[0], 3).alias("x"), F.round(vector_to_array("p")[1], 3).alias("y"))

@@ -134,7 +134,7 @@ def x06_conversation_parts(spark, d):
     return ms.select("conv_id", F.posexplode(chunk.split_messages(F.col("a.content"), 250)).alias("part", "content")).join(ms.select("conv_id", F.length("q.content").alias("n_prefix")), "conv_id")
 
 
-@query("select label, a.vec_id as vec_id, round(list_cosine_similarity(a.embedding, c.m), 4) as cosine from embeddings a join (select label, list(v order by i) as m from (select label, i, avg(x::double)::float as v from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by label, i) group by label) c using (label)")
+@query("select label, a.vec_id as vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::double), c.m), 4) as cosine from embeddings a join (select label, list(v order by i) as m from (select label, i, avg(x::double) as v from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by label, i) group by label) c using (label)")
 def a24_cosine_to_centre(spark, d):
     e = table(spark, d, "embeddings")
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("v"))

@@ -1,11 +1,12 @@
 """Small cases of operators that SQL does not cover."""
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from vellum.functions.runtime import with_index
-from vellum.operators import chunk, clean, dialogue, gates, training
+from vellum.operators import chunk, clean, dialogue, gates, joins, training
 from vellum.sources import writers
 from vellum.streaming import logs
 
@@ -117,3 +118,23 @@ def test_stream_equals_batch(spark, tmp_path):
     finally:
         q.stop()
     assert spark.sql("select sum(n), count(*) from minutes").first()[0] == 50
+
+
+def test_fuzzy_titles_equal_brute_force(spark):
+    rnd = random.Random(5)
+    words = "elements of motion light heat wheel treatise upon enquiry nature voyage lectures aether weather volume".split()
+    keys = ["principles of light", "prinoiples of light", "principles of light vol ii", "rinciples of light", "abcdefghij", "abcdefghijklmnop", "", "é" * 12, "é" * 11 + "x", "ab " * 80, "ab " * 79 + "c"]
+    for _ in range(120):
+        k = " ".join(rnd.choices(words, k=rnd.randint(1, 6)))
+        i = rnd.randrange(len(k))
+        keys += [k, k[:i] + rnd.choice("aeiou ") + k[i + 1 :], k[: len(k) * 2 // 3]]
+    ids = list(range(len(keys)))
+    rnd.shuffle(ids)
+    rows = [*zip(ids, keys), (len(keys), keys[0]), (len(keys) + 1, None)]
+    rep: dict = {}
+    for i, k in rows:
+        if k is not None:
+            rep[k] = min(i, rep.get(k, i))
+    want = {k: min([r, *(o for y, o in rep.items() if o < r and SequenceMatcher(None, k, y).ratio() >= 0.75)]) for k, r in rep.items()}
+    got = joins.fuzzy_titles(spark.createDataFrame(rows, "id bigint, k string"), "id", "k", block=32).collect()
+    assert {r["id"]: r["rep_id"] for r in got} == {i: want[k] for i, k in rows if k is not None}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.runtime import with_index
+from ..functions.runtime import checkpointed, with_index
 
 #: A side is broadcast only if its plan is known to be below this size; else the join shuffles.
 BROADCAST_BYTES = 8 << 20
@@ -87,13 +88,67 @@ def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def fuzzy_titles(df: DataFrame, id_col: str, key_col: str, floor: float = 0.75) -> DataFrame:
-    """id, rep_id: the least id whose key has the same first word and is alike enough, itself at least.
+def letter_bits(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """256 bits of each string's letters with their occurrence numbers, and how many of these fell on a bit already set."""
+    bits, spare = np.zeros((len(keys), 4), np.uint64), np.zeros(len(keys), np.int64)
+    for i, key in enumerate(keys):
+        seen: dict[str, int] = {}
+        got = 0
+        for c in key:
+            n = seen[c] = seen.get(c, -1) + 1
+            got |= 1 << (ord(c) % 32 * 8 + min(n, 7))
+        bits[i] = [got >> at & 0xFFFFFFFFFFFFFFFF for at in (0, 64, 128, 192)]
+        spare[i] = len(key) - got.bit_count()
+    return bits, spare
 
-    Keys equal to one another meet once as a key; a block of one first word is joined by its keys.
+
+def first_alike(keys: list[str], side: np.ndarray, across: bool, floor: float) -> list[int]:
+    """Of each key the position of the first earlier one with a ratio of ``floor`` at least, or -1; ``across``: only of the other side.
+
+    Matching blocks are a common subsequence and a common multiset of letters, so the sizes of both bound
+    the ratio from above: pairs that either leaves below the floor are not compared, and none else is left out.
+    """
+    bits, spare = letter_bits(keys)
+    size = np.array([len(k) for k in keys], np.int64)
+    out = []
+    for p, x in enumerate(keys):
+        common = np.bitwise_count(bits[:p] & bits[p]).sum(axis=1, dtype=np.int64) + np.minimum(spare[:p], spare[p])
+        may = 2.0 * np.minimum(common, np.minimum(size[:p], size[p])) / np.maximum(1, size[:p] + size[p]) >= floor
+        if across:
+            may &= side[:p] != side[p]
+        masks: dict[str, int] = {}
+        for i, c in enumerate(x):
+            masks[c] = masks.get(c, 0) | 1 << i
+        full, to = (1 << len(x)) - 1, -1
+        for q in np.flatnonzero(may):
+            y, v = keys[q], full
+            for c in y:  # the zeros of v count the longest common subsequence so far
+                u = v & masks.get(c, 0)
+                v = (v + u | v - u) & full
+            if 2.0 * (len(x) - v.bit_count()) / (len(x) + len(y)) >= floor and SequenceMatcher(None, x, y).ratio() >= floor:
+                to = int(q)
+                break
+        out.append(to)
+    return out
+
+
+def fuzzy_titles(df: DataFrame, id_col: str, key_col: str, floor: float = 0.75, block: int = 4096) -> DataFrame:
+    """id, rep_id: the least id whose key is alike enough, itself at least.
+
+    Keys equal to one another meet once as a key. Every key is compared with every one of lesser id: keys
+    are dealt over blocks of about ``block``, and each pair of blocks is one group (see ``first_alike``), so
+    nothing is broadcast; the work grows with the square of the distinct keys.
     """
-    keys = df.where(F.col(key_col).isNotNull()).groupBy(key_col).agg(F.min(id_col).alias("rep")).withColumn("block", F.concat_ws(" ", F.substring_index(key_col, " ", 1), F.substring(F.substring_index(key_col, " ", -1), 1, 4)))
-    a, b = keys.select("block", F.col(key_col).alias("x"), F.col("rep").alias("rx")), keys.select("block", F.col(key_col).alias("y"), F.col("rep").alias("ry"))
-    near = a.join(b, "block").where((F.abs(F.length("x") - F.length("y")) <= 0.3 * F.greatest(F.length("x"), F.length("y"))) & (F.col("ry") < F.col("rx")))
-    near = near.where(edit_ratio("x", "y") >= floor).groupBy("x").agg(F.min("ry").alias("to"))
+    keys = checkpointed(df.where(F.col(key_col).isNotNull()).groupBy(key_col).agg(F.min(id_col).alias("rep")))
+    n = max(8, -(-keys.count() // block))
+    dealt = keys.where("rep is not null").select(F.col(key_col).alias("x"), F.col("rep").alias("rx"), F.pmod(F.xxhash64(key_col), F.lit(n)).cast("int").alias("side"))
+    cells = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("x", "rx", "side", F.least("side", "j").alias("i"), F.greatest("side", "j").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rx", kind="stable")
+        to = np.array(first_alike(list(pdf["x"]), pdf["side"].to_numpy(), bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]), floor), np.int64)
+        return pd.DataFrame({"x": pdf["x"].to_numpy()[to >= 0], "ry": pdf["rx"].to_numpy()[to[to >= 0]]})
+
+    kind = keys.schema["rep"].dataType.simpleString()
+    near = cells.repartition(n * (n + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(run, f"x string, ry {kind}").groupBy("x").agg(F.min("ry").alias("to"))
     return df.select(id_col, key_col).join(keys.select(key_col, "rep"), key_col).join(near.withColumnRenamed("x", key_col), key_col, "left").select(id_col, F.least("rep", F.coalesce("to", "rep")).alias("rep_id"))

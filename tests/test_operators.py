@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from vellum.functions.runtime import with_index
-from vellum.operators import chunk, clean, dialogue, gates, joins, training
+from vellum.operators import chunk, clean, dedup, dialogue, gates, joins, training
 from vellum.sources import writers
 from vellum.streaming import logs
 
@@ -138,3 +138,25 @@ def test_fuzzy_titles_equal_brute_force(spark):
     want = {k: min([r, *(o for y, o in rep.items() if o < r and SequenceMatcher(None, k, y).ratio() >= 0.75)]) for k, r in rep.items()}
     got = joins.fuzzy_titles(spark.createDataFrame(rows, "id bigint, k string"), "id", "k", block=32).collect()
     assert {r["id"]: r["rep_id"] for r in got} == {i: want[k] for i, k in rows if k is not None}
+
+
+def test_near_within_equals_brute_force(spark):
+    rnd = random.Random(7)
+    words = "the of and motion light heat wheel Newton Kepler upon query juice vexed nature, voyage; aether x-ray zinc".split()
+    say = lambda n: " ".join(rnd.choices(words, k=n))
+    notice = "This copy was made from a volume lent by the library. " * 9
+    texts = [("g", notice + say(400)), ("g", notice + say(400)), ("h", say(90) + " tail" * 250), ("h", say(80) + " tail" * 240), ("h", ""), ("h", None), (None, "x"), (None, "x y")]
+    for k in range(60):
+        t = say(rnd.choice([2, 9, 30, 60, 150]))
+        cut = [c if rnd.random() > 0.12 else rnd.choice("aeiou.") for c in t]
+        texts += [(f"w{k % 3}", t), (f"w{k % 3}", "".join(cut)), (f"w{k % 3}", t[len(t) // 2 :] + say(5))]
+    rows = [(g, i, t, rnd.randint(1, 4)) for i, (g, t) in enumerate(texts)]
+    rows.append(("w0", len(rows), texts[8][1], 9))
+
+    def alike(x, y):
+        return SequenceMatcher(None, x[2] or "", y[2] or "").ratio() > 0.6
+
+    want = {(x[0], x[1]) for x in rows if not any(x[0] == y[0] is not None and (-y[3], y[1]) < (-x[3], x[1]) and alike(x, y) for y in rows)}
+    df = spark.createDataFrame(rows, "g string, id bigint, t string, n int")
+    for block in (16, 1024):
+        assert {tuple(r) for r in dedup.near_within(df, "g", "id", "t", "n", block=block).collect()} == want

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from heapq import heappop, heappush
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import once
-from .joins import edit_ratio
+from ..functions.runtime import checkpointed
 
 
 def first_by(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
@@ -26,24 +30,138 @@ def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull()).select(text_col).distinct()
 
 
-def near_within(df: DataFrame, group_col: str, id_col: str, text_col: str, size_col: str, floor: float = 0.6, prefix: int = 400, bands: int = 16) -> DataFrame:
+def numbered(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row, token and the row's count of each value with its occurrence number, and the number of tokens."""
+    parts = [np.unique(v, return_counts=True) for v in values]
+    row, count = np.repeat(np.arange(len(values)), [len(u) for u, _ in parts]), np.concatenate([c for _, c in parts])
+    kinds, kind = np.unique(np.concatenate([u for u, _ in parts]), return_inverse=True)
+    most = np.zeros(len(kinds), np.int64)
+    np.maximum.at(most, kind, count)
+    at = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    return row[at], (np.cumsum(most) - most)[kind[at]] + nth, count[at], int(most.sum())
+
+
+def shared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], n_tokens: int) -> np.ndarray:
+    """Tokens that each row of a shares with each of b, both as (row, token): frequent tokens by a product, others by postings."""
+    (ra, ta), (rb, tb) = a, b
+    da, db = np.bincount(ta, minlength=n_tokens), np.bincount(tb, minlength=n_tokens)
+    out = np.zeros(shape, np.float32)
+    many = da * db > shape[0] * shape[1] / 64
+    for part in np.array_split(np.flatnonzero(many), many.sum() // 4096 + 1):
+        col = np.full(n_tokens, -1)
+        col[part] = np.arange(len(part))
+        left, right = np.zeros((shape[0], len(part)), np.float32), np.zeros((shape[1], len(part)), np.float32)
+        for to, r, c in ((left, ra, col[ta]), (right, rb, col[tb])):
+            to[r[c >= 0], c[c >= 0]] = 1
+        out += left @ right.T
+    few = ~many & (da > 0) & (db > 0)
+    ra, ta = ra[few[ta]], ta[few[ta]]
+    posted = rb[np.argsort(tb, kind="stable")]
+    start, ends = np.cumsum(db) - db, np.searchsorted(ra, np.arange(shape[0] + 1))
+    for i in range(shape[0]):
+        t = ta[ends[i] : ends[i + 1]]
+        n = db[t]
+        out[i] += np.bincount(posted[np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=shape[1])
+    return out
+
+
+def ratio_over(m: SequenceMatcher, floor: float) -> bool:
+    """Whether m.ratio() > floor; the blocks are found largest gap first, until what is left cannot change the answer."""
+    la, lb = len(m.a), len(m.b)
+    if la + lb == 0:
+        return floor < 1
+    done, left = 0, min(la, lb)
+    todo = [(-left, 0, la, 0, lb)]
+    while todo and 2.0 * done / (la + lb) <= floor:
+        if 2.0 * (done + left) / (la + lb) <= floor:
+            return False
+        w, alo, ahi, blo, bhi = heappop(todo)
+        left += w
+        i, j, k = m.find_longest_match(alo, ahi, blo, bhi)
+        if k:
+            done += k
+            for gap in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                if w := min(gap[1] - gap[0], gap[3] - gap[2]):
+                    left += w
+                    heappush(todo, (-w, *gap))
+    return 2.0 * done / (la + lb) > floor
+
+
+def beaten(texts: list[str], n: np.ndarray, ids: np.ndarray, side: np.ndarray, across: bool, floor: float) -> np.ndarray:
+    """Whether a preferred text (of the other side, if ``across``) has a ratio above ``floor`` with each text.
+
+    SequenceMatcher drops from texts b of 200 characters and more the characters above 1 %. Every block of its
+    match holds one of the others, except one at the very beginning; so with R of these in common there are
+    at most R + 1 blocks, a block of k characters holds k - 3 four-grams, and the match is at most
+    S + 3 (R + 1), S the four-grams in common. In a shorter b it is at most the characters in common.
+    Only pairs above the floor by these bounds are compared, so none is lost.
+    """
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for t in texts]
+    size, p = np.array([len(c) for c in codes], np.int64), np.uint64(0x9E3779B97F4A7C15)
+    row, token, _, n_grams = numbered([((c[:-3] * p + c[1:-2]) * p + c[2:-1]) * p + c[3:] for c in codes])
+    crow, char, count, n_chars = numbered(codes)
+    rare = (size[crow] < 200) | (count <= size[crow] // 100 + 1)
+    out, matchers = np.zeros(len(texts), bool), {}
+
+    def part(rows: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.full(len(texts), -1)
+        at[rows] = np.arange(len(rows))
+        return at[r][at[r] >= 0], t[at[r] >= 0]
+
+    every, sides = np.arange(len(texts)), np.unique(side)
+    cuts = [(every, every)] if not across else [(np.flatnonzero(side == x), np.flatnonzero(side == y)) for x in sides for y in sides if x != y]
+    for a, b in cuts:
+        la, lb, shape = size[a][:, None], size[b][None, :], (len(a), len(b))
+        s = shared(part(a, row, token), part(b, row, token), shape, n_grams)
+        r = shared(part(a, crow, char), part(b, crow[rare], char[rare]), shape, n_chars)
+        most = np.minimum(np.where(lb < 200, r, s + 3 * (r + 1)), np.minimum(la, lb)).astype(np.float64)
+        most = np.where(la + lb == 0, 1.0, 2.0 * most / np.maximum(1, la + lb))
+        better = (n[b][None, :] > n[a][:, None]) | ((n[b][None, :] == n[a][:, None]) & (ids[b][None, :] < ids[a][:, None]))
+        may = better & (most > floor)
+        for x in np.flatnonzero(may.any(axis=1)):
+            hits = np.flatnonzero(may[x])
+            for y in b[hits[np.argsort(-most[x, hits], kind="stable")]]:
+                if out[a[x]]:
+                    break
+                m = matchers.get(y)
+                if m is None:
+                    m = matchers[y] = SequenceMatcher()
+                    m.set_seq2(texts[y])
+                m.set_seq1(texts[a[x]])
+                out[a[x]] = ratio_over(m, floor)
+    return out
+
+
+def near_within(df: DataFrame, group_col: str, id_col: str, text_col: str, size_col: str, floor: float = 0.6, block: int = 1024) -> DataFrame:
     """group, id of the rows of each group to which no alike row of the group is preferred.
 
     The larger row is preferred, of equal ones that of the lesser id; so the result needs no order of
-    visits. Likeness is the matching-block ratio of the first ``prefix`` characters, a feature of the
-    operator; equal beginnings meet once. Candidates share a band of two MinHashes of word pairs, so a
-    group of any size is compared by bands, not in one task. Null texts count as empty.
+    visits. Likeness is the matching-block ratio of the whole texts; equal texts meet once. Every pair
+    of a group is held against an exact bound (see ``beaten``): groups of more than ``block`` rows are dealt
+    over blocks that are compared pair by pair, small groups share a task. Null texts count as empty;
+    rows of a null group stay.
     """
-    rows = df.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.substring(F.coalesce(text_col, F.lit("")), 1, prefix).alias("t"), F.col(size_col).alias("n"))
+    rows = df.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"), F.col(size_col).alias("n"))
     best = rows.groupBy("g", "t").agg(F.max(F.struct(F.col("n"), (-F.col("id")).alias("m"))).alias("b")).select("g", "t", "b.n", (-F.col("b.m")).alias("id"))
-    words = F.split(F.lower("t"), r"\s+")
-    pairs = F.array_distinct(F.zip_with(words, F.slice(words, 2, 10_000), lambda a, b: F.concat_ws(" ", a, b)))
-    least = lambda p, seed: F.array_min(F.transform(p, lambda w: F.xxhash64(F.lit(seed), w)))
-    hashes = once(pairs, lambda p: F.array(*[F.struct(F.lit(i).alias("i"), F.hash(least(p, 2 * i), least(p, 2 * i + 1)).alias("h")) for i in range(bands)]))
-    banded = best.withColumn("band", F.explode(hashes))
-    a = banded.select("g", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("t").alias("tx"))
-    b = banded.select("g", "band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("t").alias("ty"))
-    better = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
-    near = a.join(b, ["g", "band"]).where(better).select("g", "x", "y", "tx", "ty").dropDuplicates(["g", "x", "y"])
-    worse = near.where(edit_ratio("tx", "ty") > floor).select("g", F.col("x").alias("id")).distinct()
-    return best.select("g", "id").join(worse, ["g", "id"], "left_anti").select(F.col("g").alias(group_col), F.col("id").alias(id_col))
+    sizes = checkpointed(df.groupBy(F.col(group_col).alias("g")).agg(F.count("*").alias("rows")))
+    big = sizes.where(F.col("g").isNotNull() & (F.col("rows") > block)).select("g", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
+    total, n_big, pairs = (x or 0 for x in (sizes.agg(F.sum("rows")).first()[0], *big.agg(F.count("*"), F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()))
+    bundles = max(48, total // (2 * block) + 1)
+    key = F.xxhash64(F.coalesce(F.col("g").cast("string"), F.col("id").cast("string")))
+    dealt = best.join(F.broadcast(big) if n_big <= 100_000 else big, "g", "left")
+    dealt = dealt.withColumn("cell", F.when(F.col("blocks").isNull(), F.pmod(key, F.lit(bundles))).otherwise(key)).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("t"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("cell", F.least("side", "j").alias("i"), F.greatest("side", "j").alias("j"), "side", "g", "id", "n", "t")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        across, out = bool(pdf["i"].iloc[0] != pdf["j"].iloc[0]), np.zeros(len(pdf), bool)
+        for at in pdf.groupby("g", sort=False).indices.values():
+            if len(at) > 1:
+                own = pdf.iloc[at]
+                out[at] = beaten(list(own["t"]), own["n"].to_numpy(), own["id"].to_numpy(), own["side"].to_numpy(), across, floor)
+        return pd.DataFrame({"g": pdf["g"], "id": pdf["id"], "worse": out})
+
+    kind = {f.name: f.dataType.simpleString() for f in cells.schema}
+    seen = cells.repartition(min(bundles + pairs, 10_000), "cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(run, f"g {kind['g']}, id {kind['id']}, worse boolean")
+    return seen.groupBy("g", "id").agg(F.max("worse").alias("worse")).where("not worse").select(F.col("g").alias(group_col), F.col("id").alias(id_col))

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.runtime import checkpointed, with_index
 
@@ -82,12 +81,6 @@ def merge_best(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
     return a.join(other, key, "full").withColumn(score, F.greatest(score, "__s")).drop("__s")
 
 
-@F.pandas_udf(T.DoubleType())
-def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block likeness of two strings from 0 to 1."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 def letter_bits(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """256 bits of each string's letters with their occurrence numbers, and how many of these fell on a bit already set."""
     bits, spare = np.zeros((len(keys), 4), np.uint64), np.zeros(len(keys), np.int64)

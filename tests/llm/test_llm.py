@@ -223,6 +223,17 @@ def test_page_numbers(line, want):
     assert scan.is_page_number(line) is want
 
 
+def test_vocabulary_floor_is_of_the_language(spark, monkeypatch):
+    counts = spark.createDataFrame([("w:en", "the", 14_000_000), ("w:en", "wheel", 700), ("w:en", "house", 600), ("w:en", "wheal", 20), ("w:de", "mühle", 60), ("w:de", "wheal", 3), ("w:de", "hause", 3), ("h", "mill-wheel", 20)], "kind string, word string, n bigint")
+    monkeypatch.setattr(scan, "word_counts", lambda *_: counts)
+    v = scan.vocabulary(counts)
+    assert "mühle" in v.words and "wheal" not in v.by_lang["en"] and not v.compound
+    v.lang = "de"
+    assert scan.spelling("mühte", v) == "mühle" and scan.spelling("wheet", v) is None
+    v.lang = "en"
+    assert scan.spelling("wheal", v) == "wheel" and scan.spelling("hause", v) is None
+
+
 def test_scan_of_awkward_rows(spark, models):
     df = clash(spark.createDataFrame([("a", None, None, None), ("b", "t", "", -1.0), ("c", None, "mill", 97.0), ("c", None, "mill", 97.0)], "doc_id string, title string, text string, ocr_score double"))
     done = scan.scanned(df, scan.vocabulary(df, model=models[1]), ["doc_id", "ocr_score"], model=models[1])

@@ -5,7 +5,7 @@ record or match its title, carry a page number, or stand beside one at a page's
 stand alone. Words divided at line ends are joined or kept by the corpus vocabulary: the joined word
 against the compound, by corpus counts. A word is misread if it holds stray marks, figures or
 capitals, or if it is rare and one edit away from a far more frequent word of the corpus. The
-vocabulary keeps words of at least ``min_share`` of all running words, hence at most 1 / min_share.
+vocabulary keeps words of at least ``min_share`` of their language's words, hence at most 1 / min_share a language.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ class Vocabulary:
     listed_ratio: float = 200.0
     top: int = 0  # count of the most frequent word
     by_lang: dict[str, dict[str, int]] = field(default_factory=dict)
+    rare_in: dict[str, int] = field(default_factory=dict)  # as rare, for a language's own words
     lang: str = ""  # language of the text at hand; neighbours come from its words
     verdicts: dict[tuple[str, str], tuple[str, str | None]] = field(default_factory=dict)
 
@@ -212,11 +213,11 @@ def is_variant(a: str, b: str) -> bool:
 
 def spelling(w: str, v: Vocabulary) -> str | None:
     """The frequent word that the rare word w is a misreading of, if there is one. w is folded."""
-    own = v.words.get(w, v.rare)
     if len(w) < 3 or w in FUNCTION_WORDS:
         return None
-    table = v.by_lang.get(v.lang, v.words)
-    need = own * (v.ratio if own <= v.rare else v.listed_ratio)
+    table, rare = v.by_lang.get(v.lang, v.words), v.rare_in.get(v.lang, v.rare)
+    own = v.words[w] if w in table else max(v.words.get(w, 0), rare)
+    need = own * (v.ratio if own <= rare else v.listed_ratio)
     best, best_n = None, 0
     for e in edits(w):
         n = table.get(e, 0)
@@ -411,9 +412,9 @@ def count_words(texts: list[tuple[str, str]]) -> Counter:
     return out
 
 
-def known(counts, floor: int) -> Vocabulary:
-    """Vocabulary of (kind, word, count) rows of at least ``floor``."""
-    v = Vocabulary({}, {}, {}, floor - 1)
+def known(counts, floor: int, floors: dict[str, int] | None = None) -> Vocabulary:
+    """Vocabulary of (kind, word, count) rows of at least ``floor``, or for words that of their language in ``floors``."""
+    v = Vocabulary({}, {}, {}, floor - 1, rare_in={lang: n - 1 for lang, n in (floors or {}).items()})
     for kind, word, n in counts:
         if kind == "c":
             v.capital[word] = n
@@ -449,11 +450,15 @@ def word_counts(df: DataFrame, text_col: str = "text", model: LanguageModel | No
 
 
 def vocabulary(df: DataFrame, text_col: str = "text", model: LanguageModel | None = None, min_share: float = 2e-6, least: int = 3) -> Vocabulary:
-    """Words of at least ``min_share`` of all counts: about 1 / min_share rows of each kind at most reach the driver."""
+    """Words of at least ``min_share`` of their language's counts, others of all: about 1 / min_share rows of each kind at most reach the driver."""
     counts = checkpointed(word_counts(df, text_col, model))
-    total = counts.where("kind like 'w:%'").agg(F.sum("n")).first()[0] or 0
-    floor = max(least, int(total * min_share))
-    return known(counts.where(F.col("n") >= floor).collect(), floor)
+    totals = {r["kind"]: r["n"] for r in counts.where("kind like 'w:%'").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    floor_of = lambda n: max(least, int(n * min_share))
+    floor, floors = floor_of(sum(totals.values())), {kind: floor_of(n) for kind, n in totals.items()}
+    needed = F.lit(floor)
+    for kind, n in floors.items():
+        needed = F.when(F.col("kind") == kind, n).otherwise(needed)
+    return known(counts.where(F.col("n") >= needed).collect(), floor, {kind[2:]: n for kind, n in floors.items()})
 
 
 SCHEMA = "rows array<struct<line_no:int, kind:string>>, repaired string, n_running int"

@@ -163,6 +163,13 @@ def test_crlf_is_no_blank_line():
 # 4 pairs
 
 
+def test_refusal_counts_every_clause(spark):
+    no = "I cannot answer that question; " * 3
+    many = no + "one, two, three, four, five, six, seven, eight, nine, but the wheel of the mill is turned by the water of the hill."
+    df = spark.createDataFrame([(1, 1, "Why?", no), (2, 1, "How many are there?", many), (3, 1, "What?", None)], "id int, pair_no int, question string, answer string")
+    assert [tuple(r) for r in instruct.refusals(df).collect()] == [(1, 1)]
+
+
 def test_defects(spark, models):
     ok = "The engine moved the wheel, and the water rose in the pipe until it was full."
     msgs = lambda q, a: [("user", q), ("assistant", a)]

@@ -167,12 +167,12 @@ def pair_checks(rows: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def opening_clauses(rows: DataFrame) -> DataFrame:
-    """id, pair_no, prompt, clause_no, clause, n_words of the opening clauses of short answers."""
+    """id, pair_no, prompt, clause_no, clause, n_words of all clauses of short answers; the opening is the first of them."""
     text = F.lower(F.regexp_replace(F.trim("answer"), "[‘’]", "'"))
     words = F.size(F.split(F.trim("answer"), r"\s+"))
     clauses = F.filter(F.transform(F.split(text, CLAUSE), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))), lambda c: c != "")
     short = rows.where(F.col("answer").isNotNull() & (words <= REFUSAL_WORDS))
-    each = short.select("id", "pair_no", F.xxhash64(F.lower(F.trim("question"))).alias("prompt"), F.posexplode(F.slice(clauses, 1, 12)).alias("clause_no", "clause"))
+    each = short.select("id", "pair_no", F.xxhash64(F.lower(F.trim("question"))).alias("prompt"), F.posexplode(clauses).alias("clause_no", "clause"))
     return each.withColumn("clause", F.regexp_replace("clause", "^(?:but|for|and|as|then|unfortunately|alas|i regret that|that) (?=.* .* )", "")).withColumn("n_words", F.size(F.split("clause", " ")))
 
 

@@ -75,6 +75,16 @@ def test_large_bucket_loses_no_pair(spark):
     assert {tuple(map(tuple, r)) for r in few.collect()} == {tuple(map(tuple, r)) for r in many.collect()}
 
 
+def test_repetitive_pairs_match_brute_force(spark):
+    rows = []
+    for g in range(40):
+        for side in "ab":
+            own = [f"{side}{g}x{i}" for i in range(82)]
+            rows.append((f"d{g:02}{side}", None, " ".join([f"c{g}x{i}" for i in range(200)] + own * 3)))
+    _, _, got = found(spark, rows)
+    assert len(got) == 40 and got == brute(rows, 3, 0.5)
+
+
 def test_groups_and_empty_table(spark):
     chain = [f"c{i}" for i in range(100)]
     rows = [(f"d{i}", None, " ".join(chain[i * 10 : i * 10 + 50])) for i in range(5)] + [("far", None, " ".join(f"z{i}" for i in range(50)))]

@@ -1,12 +1,12 @@
 """Near-duplicate records: ProbMinHash signatures, banding, exact verification, groups.
 
-Each record is a weighted set of word shingles (weight 1 + ln(occurrences)). ProbMinHash lets every
-shingle arrive by a Poisson process of its weight's rate, each arrival hitting one register; a
-record is done once no further arrival can come before its slowest register (early termination).
-Registers agree with the probability Jaccard likeness of two records. Records of equal content form
-one class and only classes are banded. Buckets of up to ``bucket`` classes are joined with
-themselves; larger ones are cut into blocks whose signatures are compared block by block, emitting
-only pairs that the signatures support, so no pair is dropped and no task holds a whole bucket.
+Each record is the set of its distinct word shingles, all of weight 1, as the verification counts
+them. ProbMinHash lets every shingle arrive by a Poisson process, each arrival hitting one register;
+a record is done once no further arrival can come before its slowest register (early termination).
+Registers agree with the Jaccard likeness of two records. Records of equal content form one class
+and only classes are banded: a pair of likeness 0.5 shares a band with chance 0.98. Buckets of up to
+``bucket`` classes are joined with themselves; larger ones are cut into blocks whose signatures are
+compared block by block, emitting only pairs that the signatures support, so no task holds a whole bucket.
 Every candidate pair is verified on its whole texts.
 """
 
@@ -94,9 +94,8 @@ def signatures(contents: list[str], k: int) -> dict[str, np.ndarray]:
         new = np.ones(len(sh), bool)
         new[1:] = (sh[1:] != sh[:-1]) | (d[1:] != d[:-1])
         start = np.flatnonzero(new)
-        times = np.diff(np.append(start, len(sh)))
         count = np.bincount(d[start], minlength=n)
-        sig = prob_minhash(sh[start], 1.0 + np.log(times), d[start], n)
+        sig = prob_minhash(sh[start], np.ones(len(start)), d[start], n)
     return {"hi": hi, "lo": lo, "n_shingles": count, "sig": sig}
 
 

@@ -240,6 +240,58 @@ def test_page_numbers(line, want):
     assert scan.is_page_number(line) is want
 
 
+def pages(n, noise=True):
+    """A record of n pages: a sentence-case title on even ones, a chapter of its own on odd ones, no numbers, blank lines around."""
+    rnd = random.Random(n)
+    hurt = lambda h: h[: (k := rnd.randrange(len(h)))] + rnd.choice(".|'0") + h[k + 1 :] if noise and rnd.random() < 0.7 else h
+    text, heads = [], []
+    for i in range(n):
+        text += [f"The wheel of the mill {i} was turned by the water of the", f"hill and the stone number {i * 7} went round in the great house."] * 3
+        heads.append(len(text) + 1)
+        text += ["", hurt(f"On the quiet motion of Wheel {chr(65 + i // 40 % 26)}{chr(65 + i // 8 % 5) * 3}" if i % 2 else "Lectures upon the brief Law."), ""]
+    return text, heads
+
+
+def test_headers_need_fuzzy_repetition(monkeypatch):
+    text, heads = pages(12)
+    # most words begin with small letters: such lines stand out by nothing but their coming again
+    got = [i for i, k in enumerate(scan.line_kinds(text, None)) if k == "header"]
+    assert len(set(got) & set(heads)) >= 11 and not set(got) - set(heads)
+    monkeypatch.setattr(scan, "_alike", lambda a, b, floor: a == b)
+    assert len([k for k in scan.line_kinds(text, None) if k == "header"]) < 9
+
+
+def test_page_numbers_rise():
+    assert scan.rising([464, 9, 465, 467, 3, 468]) == {0, 2, 3, 5} and scan.rising([]) == set() and scan.rising([5, 5, 4]) == {0}
+    assert [scan.number_value(x) for x in ("l99", "xlv", "[12]", "LVIII", "3O", "ab")] == [199, 45, 12, 58, 30, None]
+    text = ["The wheel was turned by the water.", "12", "It was made of oak.", "", "40", "", "The stone of the mill was", "41", "new and the house was", "42", "old."]
+    assert [i for i, k in enumerate(scan.line_kinds(text, None)) if k == "page_number"] == [4, 7, 9]
+
+
+def test_header_search_is_linear_in_pages():
+    import time
+
+    def seconds(n):
+        text, _ = pages(n)
+        text = [x.title() if "Law" in x or "Wheel" in x else x for x in text]
+        began = time.process_time()
+        scan.line_kinds(text, "A Book")
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(3200) < 16 * max(seconds(400), 0.01) and seconds(3200) < 5
+
+
+def test_index_finds_what_enumeration_finds():
+    rnd = random.Random(3)
+    table = {"".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 6))): 999 for _ in range(300)}
+    v = scan.known([("w:", w, n) for w, n in table.items()], 3)
+    for _ in range(300):
+        w = "".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 6)))
+        one = {t for t in table if t != w and (len(t) == len(w) and sum(a != b for a, b in zip(t, w)) == 1 or t in scan.deletions(w) or w in scan.deletions(t))}
+        assert {x for x in scan.near_words(w, table, v.index()) if x in table} >= one
+
+
 def test_vocabulary_floor_is_of_the_language(spark, monkeypatch):
     counts = spark.createDataFrame([("w:en", "the", 14_000_000), ("w:en", "wheel", 700), ("w:en", "house", 600), ("w:en", "wheal", 20), ("w:de", "mühle", 60), ("w:de", "wheal", 3), ("w:de", "hause", 3), ("h", "mill-wheel", 20)], "kind string, word string, n bigint")
     monkeypatch.setattr(scan, "word_counts", lambda *_: counts)

@@ -1,17 +1,20 @@
 """Noise in text from scanned pages: line kinds, and repair into continuous paragraphs.
 
-Running headers are short lines that stand out of the text and come again, fuzzily, in the same
-record or match its title, carry a page number, or stand beside one at a page's edge. Page numbers
-stand alone. Words divided at line ends are joined or kept by the corpus vocabulary: the joined word
-against the compound, by corpus counts. A word is misread if it holds stray marks, figures or
-capitals, or if it is rare and one edit away from a far more frequent word of the corpus. The
-vocabulary keeps words of at least ``min_share`` of their language's words, hence at most 1 / min_share a language.
+A record is read as pages: furniture stands at page edges, that is where a line interrupts the text,
+carries or adjoins a page number, stands alone or is set as a heading is. The lines there are grouped into
+families by fuzzy repetition, the record's title being a member too; a family of two or more is a
+running header. The numbers at the edges are put into one rising sequence: what belongs to it is a
+page number, and a line numbered by it a header even where its family has no other line. Words divided
+at line ends are joined or kept by the corpus vocabulary: the joined word against the compound, by
+corpus counts. A word is misread if it holds stray marks, figures or capitals, or if it is rare and one
+edit away from a far more frequent word of the corpus, found in an index of deletions. The vocabulary
+keeps words of at least ``min_share`` of their language's words, hence at most 1 / min_share a language.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
@@ -27,6 +30,13 @@ from .language import LanguageModel
 ROMAN = re.compile(r"^(?=[ivxlcdm])(?:m{0,3})(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 NUMBERISH = re.compile(r"^(?=.*\d)[0-9lIoOSBiz|!]{1,4}$|^[lIoO]{2,3}$")
 HEADING = re.compile(r"^(?:section|letter|chapter|chap|art|article|part|book|proposition|prop|lecture|canto|act|scene|appendix|problem|theorem|note|essay|volume|vol)\W*(?:[ivxlcdm]+|\d+)?\W*$", re.IGNORECASE)
+#: Letters that scanners write for figures (fixed values), and the values of roman numerals.
+SCAN_DIGITS = str.maketrans("lI|!iOoSBz", "1111100582")
+ROMAN_VALUE = dict(zip("ivxlcdm", (1, 5, 10, 50, 100, 500, 1000)))
+STOP = re.compile(r"[.!?:;][\"'”’)\]]*\s*$")
+HYPHENS = frozenset("-¬­‐‑=⸗")
+STRAY = re.compile(r"[■□¦^~*|•§¶\d]")
+LETTER = re.compile(r"[^\W\d_]")
 DIVIDED = re.compile(r"([^\W\d_]+)(\s?[-¬­‐‑=⸗])\s*$")
 EDGE = "\"'“”‘’«»„()[]{}.,;:!?—–-¬…"
 WORD_PART = re.compile(r"^[^\W\d_]+$")
@@ -39,7 +49,6 @@ VARIANTS = (("our", "or"), ("ise", "ize"), ("isi", "izi"), ("isa", "iza"), ("yse
 FUNCTION_WORDS = frozenset(
     "a about above after again against all also although am among an and any are as at be because been before being below between both but by can cannot could did do does down during each either ever every few for from further had has have having he hence her here hers him his how however i if in into is it its itself lest many may me might mine more most much must my neither never no nor not now of off often on once one only or other our out over own perhaps shall she should since so some soon still such than that the thee their them then thence there these they thine this those thou though through thus thy till to too under until unless unto up upon us very was we were what when whence where whether which while who whom whose why will with within without would ye yet you your".split()
 )
-LOWER_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäæçèéêëìíîïñòóôöœùúûü"
 #: Letter groups that scanners take for one another (fixed values).
 CONFUSED = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("ri", "n"), ("ni", "m"), ("in", "m"), ("ci", "a"), ("lc", "k"), ("fi", "h"), ("nn", "m"), ("iu", "m"))
 
@@ -59,6 +68,20 @@ class Vocabulary:
     rare_in: dict[str, int] = field(default_factory=dict)  # as rare, for a language's own words
     lang: str = ""  # language of the text at hand; neighbours come from its words
     verdicts: dict[tuple[str, str], tuple[str, str | None]] = field(default_factory=dict)
+    sound: dict[str, set[str]] = field(default_factory=dict)  # tokens found to be in order, by language
+    deleted: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+
+    def index(self) -> dict[str, list[str]]:
+        """Deletions of the words of the text's language that are frequent enough to correct another, made once a process."""
+        if self.lang not in self.deleted:
+            table, least = self.by_lang.get(self.lang, self.words), self.ratio * self.rare_in.get(self.lang, self.rare)
+            out: dict[str, list[str]] = defaultdict(list)
+            for word, n in table.items():
+                if n >= least:
+                    for d in deletions(word):
+                        out[d].append(word)
+            self.deleted[self.lang] = dict(out)
+        return self.deleted[self.lang]
 
 
 def is_page_number(line: str) -> bool:
@@ -107,16 +130,34 @@ def split_number(u: str) -> tuple[str, bool]:
     return u, False
 
 
-def stands_out(core: str) -> bool:
-    """Set as a heading is: capitals, or nearly every long word capitalised; not a sentence."""
-    words = re.findall(r"[^\W\d_]{2,}", core)
-    alpha = [c for c in core if c.isalpha()]
-    if not alpha:
-        return False
-    if sum(c.isupper() for c in alpha) >= 0.75 * len(alpha):
-        return True
-    long = [w for w in words if len(w) >= 4]
-    return bool(long) and len(words) <= 10 and core.lstrip()[:1].isupper() and sum(w[0].isupper() for w in long) >= 0.75 * len(long) and not re.search(r"[,;:?!]", core)
+def number_value(tok: str) -> int | None:
+    """Value of a page number, arabic or roman, with letters that scanners write for figures."""
+    bare = re.sub(r"[^0-9A-Za-z|!]", "", tok)
+    low = bare.lower()
+    if low and not bare.isdigit() and ROMAN.match(low) and (bare.islower() or bare.isupper()):
+        v = [ROMAN_VALUE[c] for c in low]
+        return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
+    digits = bare.translate(SCAN_DIGITS)
+    return int(digits) if digits.isdecimal() else None
+
+
+def rising(values: list[int], reach: int = 3) -> set[int]:
+    """Positions of the longest chain of values each 1 to ``reach`` above the one before: a page or two may lack its number."""
+    length: list[int] = []
+    back: list[int] = []
+    last: dict[int, int] = {}
+    for k, v in enumerate(values):
+        n, to = max(((length[last[v - step]], last[v - step]) for step in range(reach, 0, -1) if v - step in last), default=(0, -1))
+        length.append(n + 1)
+        back.append(to)
+        if v not in last or length[last[v]] <= n + 1:
+            last[v] = k
+    at = max(range(len(values)), key=lambda k: (length[k], -k), default=-1)
+    out: set[int] = set()
+    while at >= 0:
+        out.add(at)
+        at = back[at]
+    return out
 
 
 def _alike(a: str, b: str, floor: float) -> bool:
@@ -126,6 +167,34 @@ def _alike(a: str, b: str, floor: float) -> bool:
     return m.real_quick_ratio() >= floor and m.quick_ratio() >= floor and m.ratio() >= floor
 
 
+def families(keys: list[str], floor: float = 0.8) -> list[int]:
+    """Family of each key: keys join, the most frequent first, the first family whose leader is alike enough.
+
+    Leaders are looked up by the letter groups they share with the key, as many as a likeness of ``floor``
+    leaves whole, so the work grows with the keys and not with their pairs.
+    """
+    count = Counter(keys)
+    posted: dict[str, list[int]] = defaultdict(list)
+    leaders: list[str] = []
+    of: dict[str, int] = {}
+
+    def groups(key: str, n: int) -> set[str]:
+        return {key[i : i + n] for i in range(len(key) - n + 1)}
+
+    for key in sorted(count, key=lambda k: (-count[k], k)):
+        n = 3 if len(key) >= 8 else 2
+        need = max(1.0, 0.4 * len(key) - 2 if n == 3 else 0.6 * len(key) - 1)
+        met = Counter(x for g in groups(key, n) for x in posted.get(g, ()))
+        home = next((x for x, c in sorted(met.items(), key=lambda m: (-m[1], m[0])) if c >= need and _alike(key, leaders[x], floor)), None)
+        if home is None:
+            home = len(leaders)
+            leaders.append(key)
+            for g in groups(key, 2) | groups(key, 3):
+                posted[g].append(home)
+        of[key] = home
+    return [of[k] for k in keys]
+
+
 def _caps_near(lines: list[str], i: int) -> bool:
     """The line right before ends, or the one right after begins, in capitals too: a passage in capitals."""
     near = [lines[i - 1].split()[-2:]] if i else []
@@ -134,68 +203,123 @@ def _caps_near(lines: list[str], i: int) -> bool:
     return any(sum(w.isupper() and len(w) > 1 for w in part) >= min(2, len(part)) for part in near if part)
 
 
+@dataclass
+class Edge:
+    """A line at a page edge that may be furniture."""
+
+    line: int
+    core: str  # without a page number
+    norm: str  # letters of the core
+    numbered: bool
+    alone: bool  # blank lines around it
+    breaks: bool  # stands inside a sentence
+    first: bool  # nothing but blank lines before it
+    styled: bool  # set as a heading is: most words begin with capitals
+    heading: bool
+
+
+def page_edges(lines: list[str]) -> tuple[list[str], list[Edge], list[tuple[int, int]]]:
+    """(kinds so far: blank, page_number or text; edges; (line, page number) in order)."""
+    bare = [x.strip() for x in lines]
+    kinds = ["text" if x else "blank" for x in bare]
+    solid = [i for i, x in enumerate(bare) if x]
+    edges: list[Edge] = []
+    numbers: list[tuple[int, int]] = []
+    for at, i in enumerate(solid):
+        u = bare[i]
+        words = u.split()
+        if len(u) <= 14 and is_page_number(u):
+            kinds[i] = "page_number"
+            value = number_value(words[-1] if len(words) > 1 and not words[-1].strip("—–-[](){}. *·•_'") == "" else u)
+            if value is not None:
+                numbers.append((i, value))
+            continue
+        # most words of a line of running text begin with small letters; such a line is a header only if it comes again, and stands alone
+        alone = (i == 0 or not bare[i - 1]) and (i + 1 == len(bare) or not bare[i + 1])
+        if 2 * sum(w[0].islower() for w in words) > len(words) + 2 and not (alone and len(words) <= 14):
+            continue
+        core, numbered = split_number(u)
+        kept = core.split()
+        styled = bool(kept) and 2 * sum(w[0].islower() for w in kept) <= len(kept)
+        if not kept or not styled and not alone:
+            continue
+        norm = letters(core)
+        if not norm:
+            continue
+        before, after = bare[solid[at - 1]] if at else "", bare[solid[at + 1]] if at + 1 < len(solid) else ""
+        breaks = bool(before) and not STOP.search(before) and after[:1].islower() and not kept[0][0].islower()
+        if numbered:
+            tail = words[-1] if u.startswith(core) else words[0]
+            value = number_value(tail.strip(".[]()—–-"))
+            if value is not None:
+                numbers.append((i, value))
+        edges.append(Edge(i, core.strip(), norm, numbered, alone, breaks, at == 0, styled, HEADING.match(core.strip()) is not None and core.strip()[:1].isupper()))
+    return kinds, edges, numbers
+
+
 def line_kinds(lines: list[str], title: str | None) -> list[str]:
     """blank, page_number, header, heading or text for every line."""
-    kinds = ["text"] * len(lines)
-    cand: list[tuple[int, str, str, bool]] = []
-    for i, line in enumerate(lines):
-        u = line.strip()
-        if not u:
-            kinds[i] = "blank"
-        elif is_page_number(u):
-            kinds[i] = "page_number"
-        elif len(u) <= 110:
-            core, numbered = split_number(u)
-            if core and len(core.split()) <= 60 and stands_out(core):
-                cand.append((i, core, letters(core), numbered))
+    kinds, edges, numbers = page_edges(lines)
     if len(lines) == 1:
         return kinds
+    chain = rising([v for _, v in numbers])
+    paged = {numbers[k][0] for k in chain} if len(chain) > 1 else set()
+    for i, _ in numbers:
+        # a bare number beside a sequence to which it does not belong is one only where it interrupts the text
+        if kinds[i] == "page_number" and paged and i not in paged and lines[i].strip().isdecimal():
+            if i and i + 1 < len(lines) and lines[i - 1].strip() and lines[i + 1].strip():
+                kinds[i] = "text"
+    solid = [i for i, k in enumerate(kinds) if k != "blank"]
+    place = {i: n for n, i in enumerate(solid)}
     name = letters((title or "").split(":")[0])
-    caps_text = sum(1 for i, core, _, n in cand if not n and core.isupper() and len(core) > 30) > 0.35 * max(1, sum(k == "text" for k in kinds))
-    for i, core, norm, numbered in cand:
-        heading = HEADING.match(core.strip()) is not None
-        again = [j for j, c2, n2, _ in cand if j != i and (_alike(norm, n2, 0.8) if not heading else norm == n2)]
-        titled = len(norm) >= 5 and len(name) >= 5 and (_alike(norm, name[: len(norm) + 1], 0.75) or _alike(norm, name, 0.75))
-        before = next((k for k in range(i - 1, -1, -1) if kinds[k] != "blank"), None)
-        after = next((k for k in range(i + 1, len(lines)) if kinds[k] != "blank"), None)
-        beside = (before is not None and kinds[before] == "page_number") or (after is not None and kinds[after] == "page_number")
-        broken = (
-            before is not None and after is not None and kinds[before] == "text" and not re.search(r"[.!?:;\"”’)]\s*$", lines[before]) and lines[after].lstrip()[:1].islower()
-        )
-        if heading:
-            is_header = numbered and len(norm) > 0 and re.search(r"[ivxlcdm\d]+\W*$", core.strip(), re.IGNORECASE) is not None and len(core.split()) >= 2 or (bool(again) and (broken or beside))
-            kinds[i] = "header" if is_header else "heading"
-        elif titled or numbered and len(norm) >= 3 and len(core.split()) <= 40:
-            kinds[i] = "header"
-        elif caps_text and not beside:
+    family = families([e.norm for e in edges if not e.heading])
+    of = dict(zip((e.line for e in edges if not e.heading), family))
+    size = Counter(family)
+    same = Counter(e.norm for e in edges if e.heading)
+    for e in edges:
+        i, at = e.line, place[e.line]
+        beside = any(kinds[solid[j]] == "page_number" for j in (at - 1, at + 1) if 0 <= j < len(solid))
+        if e.heading:
+            again = same[e.norm] > 1 and (e.breaks or beside)
+            kinds[i] = "header" if i in paged or e.numbered and (e.breaks or e.first) or again else "heading"
             continue
-        elif len(norm) < 4 or "," in core or len(norm) > 45:
+        parts = e.core.split()
+        n_words = len(parts) if sum(len(w) == 1 for w in parts) * 2 < len(parts) else len(re.split(r"\s{2,}", e.core))
+        titled = len(e.norm) >= 5 and len(name) >= 5 and (_alike(e.norm, name[: len(e.norm) + 1], 0.75) or _alike(e.norm, name, 0.75))
+        recurs = size[of[i]] > 1 or titled
+        if n_words > 40 or not recurs and (not e.styled or len(e.norm) < 4 or "," in e.core):
             continue
-        elif core.isupper() and not beside and not again and (len(core.split()) > 14 or core.split()[-1].lower().strip(".") in FUNCTION_WORDS or _caps_near(lines, i)):
+        if recurs:
+            kinds[i] = "header"
+        elif _caps_near(lines, i) or not e.numbered and e.core.isupper() and (n_words > 14 or parts[-1].lower().strip(".") in FUNCTION_WORDS):
             continue
-        elif again or beside or core.isupper() or broken and len(core.split()) <= 4 and not core.rstrip().endswith("."):
+        elif i in paged or e.numbered and n_words <= 14 and (e.breaks or e.first or e.alone):
+            kinds[i] = "header"
+        elif len(e.norm) <= 45 and not e.core.endswith(".") and (e.breaks and n_words <= 4 or beside and (e.breaks or e.core.isupper())):
             kinds[i] = "header"
-        elif norm and core.strip().endswith(".") is False and len(core.split()) <= 8 and (i == 0 or kinds[i - 1] == "blank") and (i + 1 == len(lines) or kinds[i + 1] == "blank"):
+        elif e.alone and n_words <= 8 and not e.core.endswith("."):
             kinds[i] = "heading"
     return kinds
 
 
-def edits(w: str):
-    """Words one edit or one confused letter group away."""
-    for i in range(len(w)):
-        yield w[:i] + w[i + 1 :]
-        for c in LOWER_LETTERS:
-            if c != w[i]:
-                yield w[:i] + c + w[i + 1 :]
-    for i in range(len(w) + 1):
-        for c in LOWER_LETTERS:
-            yield w[:i] + c + w[i:]
+def deletions(w: str) -> set[str]:
+    return {w[:i] + w[i + 1 :] for i in range(len(w))}
+
+
+def near_words(w: str, table: dict[str, int], index: dict[str, list[str]]) -> set[str]:
+    """Indexed words one letter or one confused letter group away from w."""
+    less = deletions(w)
+    out = {t for d in less for t in index.get(d, ()) if len(t) == len(w) and sum(a != b for a, b in zip(t, w)) == 1}
+    out.update(index.get(w, ()))
+    out.update(d for d in less if d in table)
     for a, b in CONFUSED:
         for x, y in ((a, b), (b, a)):
             at = w.find(x)
             while at >= 0:
-                yield w[:at] + y + w[at + len(x) :]
+                out.add(w[:at] + y + w[at + len(x) :])
                 at = w.find(x, at + 1)
+    out.discard(w)
+    return out
 
 
 def is_variant(a: str, b: str) -> bool:
@@ -218,14 +342,9 @@ def spelling(w: str, v: Vocabulary) -> str | None:
     table, rare = v.by_lang.get(v.lang, v.words), v.rare_in.get(v.lang, v.rare)
     own = v.words[w] if w in table else max(v.words.get(w, 0), rare)
     need = own * (v.ratio if own <= rare else v.listed_ratio)
-    best, best_n = None, 0
-    for e in edits(w):
-        n = table.get(e, 0)
-        if n > best_n and n >= need and len(e) >= 3 and not is_variant(w, e):
-            best, best_n = e, n
-    if best is None and len(w) < 4:
-        return None
-    return best
+    able = ((-table.get(e, 0), e) for e in near_words(w, table, v.index()) if len(e) >= 3)
+    best = min((x for x in able if -x[0] >= need and -x[0] > 0 and not is_variant(w, x[1])), default=None)
+    return best[1] if best else None
 
 
 def verdict(tok: str, v: Vocabulary) -> tuple[str, str | None]:
@@ -296,9 +415,16 @@ def joins(head: str, tail: str, v: Vocabulary, mark: str) -> bool:
     return True
 
 
+def ends_sentence(line: str) -> bool:
+    return line.rstrip().rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":")
+
+
 def analyse(text: str, title: str | None, v: Vocabulary, lang: str = "") -> tuple[list[tuple[int, str]], str, int]:
     """((line number, kind) rows, repaired text, lines of running text)."""
     v.lang = lang
+    sound = v.sound.setdefault(lang, set())
+    if len(sound) > 300_000:
+        sound.clear()
     lines = text.split("\n")
     kinds = line_kinds(lines, title)
     out: list[tuple[int, str]] = [(i + 1, k) for i, k in enumerate(kinds) if k in ("header", "page_number")]
@@ -318,8 +444,13 @@ def analyse(text: str, title: str | None, v: Vocabulary, lang: str = "") -> tupl
             paragraphs.append(" ".join(parts))
             parts = []
         toks = line.split()
+        closed = line.rstrip()
+        if carry is None and closed[-1] not in HYPHENS and sound.issuperset(toks):
+            parts.append(" ".join(toks))
+            last_stop, last = ends_sentence(closed), i
+            continue
         bad = False
-        divided = DIVIDED.search(line)
+        divided = DIVIDED.search(line) if closed[-1] in HYPHENS else None
         tail = None
         if divided and at + 1 < len(running):
             nxt = lines[running[at + 1]].split()
@@ -334,7 +465,7 @@ def analyse(text: str, title: str | None, v: Vocabulary, lang: str = "") -> tupl
         for n, tok in enumerate(toks):
             if n == 0 and carry is not None:
                 # the second half was judged with the first; only marks of its own count here
-                if re.search(r"[■□¦^~*|•§¶\d]", tok) and re.search(r"[^\W\d_]", tok) and not ORDINAL.match(tok.strip(EDGE)):
+                if STRAY.search(tok) and LETTER.search(tok) and not ORDINAL.match(tok.strip(EDGE)):
                     bad = True
                 parts.append(carry + tok)
                 carry = None
@@ -350,13 +481,15 @@ def analyse(text: str, title: str | None, v: Vocabulary, lang: str = "") -> tupl
                     carry = tok.rstrip("-¬­‐‑=⸗")
                 else:
                     carry = tok.rstrip("¬­-‐‑=⸗") + "-"
-                if re.search(r"[■□¦^~*|•§¶\d]", tok) and re.search(r"[^\W\d_]", tok) or re.search(r"[^\W\d_A-Z][A-Z]", head):
+                if STRAY.search(tok) and LETTER.search(tok) or re.search(r"[^\W\d_A-Z][A-Z]", head):
                     bad = True
                 continue
             if tail is not None and n == len(toks) - 2 and len(divided.group(2)) > 1:
                 fixed.append(tok)
                 continue
             what, fix = verdict(tok, v)
+            if what == "ok":
+                sound.add(tok)
             if what == "capital":
                 prev = toks[n - 1] if n else (lines[last].split() or [""])[-1] if last >= 0 and not new else "."
                 if n == 0 and (last < 0 or new):
@@ -376,7 +509,7 @@ def analyse(text: str, title: str | None, v: Vocabulary, lang: str = "") -> tupl
             out.append((i + 1, "misread"))
         if fixed:
             parts.append(" ".join(fixed))
-        last_stop = bool(re.search(r"[.!?:][\"'”’)\]]*\s*$", line))
+        last_stop = ends_sentence(closed)
         last = i
     if carry is not None:
         parts.append(carry)

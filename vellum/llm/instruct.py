@@ -132,9 +132,11 @@ def languages_of(texts: list[str], model: LanguageModel, min_words: int = 4) ->
         return [None] * len(texts)
     per, inv = word_scores(model, b)
     doc = np.searchsorted(b.start, w0, side="right") - 1
-    total = np.zeros((b.n, per.shape[1]))
-    np.add.at(total, doc, per[inv])
     n = np.bincount(doc, minlength=b.n)
+    acc = np.zeros((len(inv) + 1, per.shape[1]))
+    np.cumsum(per[inv], axis=0, out=acc[1:])
+    ends = np.cumsum(n)
+    total = acc[ends] - acc[ends - n]
     top = total.argmax(axis=1)
     two = np.partition(total, -2, axis=1)[:, -2:]
     sure = (n >= min_words) & (two[:, 1] - two[:, 0] > 3.0)

@@ -35,6 +35,7 @@ SCAN_DIGITS = str.maketrans("lI|!iOoSBz", "1111100582")
 ROMAN_VALUE = dict(zip("ivxlcdm", (1, 5, 10, 50, 100, 500, 1000)))
 STOP = re.compile(r"[.!?:;][\"'”’)\]]*\s*$")
 HYPHENS = frozenset("-¬­‐‑=⸗")
+SMALL = re.compile(r"\s[a-zß-öø-ÿ]")
 STRAY = re.compile(r"[■□¦^~*|•§¶\d]")
 LETTER = re.compile(r"[^\W\d_]")
 DIVIDED = re.compile(r"([^\W\d_]+)(\s?[-¬­‐‑=⸗])\s*$")
@@ -236,7 +237,7 @@ def page_edges(lines: list[str]) -> tuple[list[str], list[Edge], list[tuple[int,
             continue
         # most words of a line of running text begin with small letters; such a line is a header only if it comes again, and stands alone
         alone = (i == 0 or not bare[i - 1]) and (i + 1 == len(bare) or not bare[i + 1])
-        if 2 * sum(w[0].islower() for w in words) > len(words) + 2 and not (alone and len(words) <= 14):
+        if 2 * len(SMALL.findall(" " + u)) > len(words) + 2 and not (alone and len(words) <= 14):
             continue
         core, numbered = split_number(u)
         kept = core.split()
@@ -487,6 +488,9 @@ def analyse(text: str, title: str | None, v: Vocabulary, lang: str = "") -> tupl
             if tail is not None and n == len(toks) - 2 and len(divided.group(2)) > 1:
                 fixed.append(tok)
                 continue
+            if tok in sound:
+                fixed.append(tok)
+                continue
             what, fix = verdict(tok, v)
             if what == "ok":
                 sound.add(tok)
@@ -605,22 +609,25 @@ def scanned(df: DataFrame, v: Vocabulary, id_cols: list[str], title_col: str = "
     shared = df.sparkSession.sparkContext.broadcast((v, model))
     src = df.select(*[F.col(f"`{c}`") for c in id_cols], F.col(f"`{title_col}`").alias("__title"), F.col(f"`{text_col}`").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-2])
-    row_t = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
 
     def run(batches):
         for batch in batches:
             n = batch.num_columns
             at = 0
             for part in tv.split_by_size(zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()), lambda r: len(r[1] or "")):
-                rows, fixed, running = [], [], []
+                offs, numbers, kinds, fixed, running = [0], [], [], [], []
                 langs = text_languages([x or "" for _, x in part], shared.value[1])
                 for (title, text), lang in zip(part, langs):
                     r, t, k = analyse(text, title, shared.value[0], lang) if text is not None else ([], None, 0)
-                    rows.append([{"line_no": i, "kind": what} for i, what in r])
+                    numbers.extend(i for i, _ in r)
+                    kinds.extend(what for _, what in r)
+                    offs.append(len(numbers))
                     fixed.append(t)
                     running.append(k)
                 ids = [batch.column(i).slice(at, len(part)) for i in range(n - 2)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(rows, row_t), pa.array(fixed, pa.string()), pa.array(running, pa.int32())], names=[*id_cols, "rows", "repaired", "n_running"])
+                each = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(kinds, pa.string())], names=["line_no", "kind"])
+                rows = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), each)
+                yield pa.RecordBatch.from_arrays([*ids, rows, pa.array(fixed, pa.string()), pa.array(running, pa.int32())], names=[*id_cols, "rows", "repaired", "n_running"])
                 at += len(part)
 
     return src.mapInArrow(run, f"{fields}, {SCHEMA}")

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("vellum.llm")
-from vellum.llm import chunking, instruct, language, mixing, neardup, packing, quality, scan, tokens  # noqa: E402
+from vellum.llm import chunking, instruct, language, linemodel, mixing, neardup, packing, quality, scan, tokens  # noqa: E402
+from vellum.llm import textvec as tv  # noqa: E402
 
 DIR = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
@@ -214,6 +215,32 @@ def test_kinds(models):
     assert kinds == {"prose": "prose", "caps": "prose", "list": "list", "toc": "list", "table": "table", "cols": "table", "junk": "junk", "rep": "junk", "empty": "empty", "white": "empty"}
 
 
+@needs_data
+def test_line_labels_of_held_out_texts(refs):
+    model = quality.fit([r for i, r in enumerate(refs) if i % 2])
+    docs = linemodel.labelled_documents([r for i, r in enumerate(refs) if i % 2 == 0], 300, seed=99)
+    b = tv.block(["\n".join(t for t, _ in d) for d in docs])
+    seg = quality.segments(b, model)
+    line = tv.prefix(b.cls == tv.NEWLINE)
+    want = np.array([docs[i][k][1] for i, k in zip(seg.doc, line[seg.start] - line[b.start[seg.doc]])])
+    score = quality.emissions(seg.feats, model.lines)
+    got = quality.viterbi(score, seg.doc, b.n, model.lines)
+    assert (got == want).mean() > 0.97
+    # the transitions decide lines that their own figures leave open, and decide them rightly
+    alone = score.argmax(axis=1)
+    changed = got != alone
+    assert changed.sum() > 50 and (got[changed] == want[changed]).mean() > 0.8
+
+
+def test_transitions_change_labels(models):
+    rows = "\n".join(f"wheel      {i}.25     {i * 3}     0.5" for i in range(12))
+    text = rows[: len(rows) // 2] + "\nditto mill\n" + rows[len(rows) // 2 :]
+    b = tv.block([text])
+    seg = quality.segments(b, models[0])
+    score = quality.emissions(seg.feats, models[0].lines)
+    assert set(quality.viterbi(score, seg.doc, 1, models[0].lines)) == {quality.TABLE} and set(score.argmax(axis=1)) != {quality.TABLE}
+
+
 def test_stats_of_awkward_rows(spark, models):
     df = clash(spark.createDataFrame([(1, None, None), (2, "", "s"), (3, "😀" * 300, "s"), (3, "😀" * 300, "s"), (4, "word " * 50_000, "t")], "doc_id int, text string, source string"))
     s = quality.quality_stats(df, models[0], ["doc_id", "source"])

@@ -4,8 +4,9 @@ Each line (long lines in stretches of about 200 characters) is described by vect
 shares of words, function words, figures, symbols and garbled tokens, cell separators, list marks,
 letter-pair likelihood and repetition. A four-state hidden Markov model (prose, list, table, junk)
 decodes the most likely state sequence of each document; label shares weigh lines by their
-non-white characters. The letter-pair table and the function words are fitted on a bounded sample
-of labelled texts (``max_refs`` rows, documented default 5,000).
+non-white characters. The letter-pair table, the function words, the emissions and the transitions are
+fitted on a bounded number of labelled texts and lines (``max_refs`` texts, ``n_docs`` made documents; see
+``linemodel``).
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .linemodel import LineModel, counted, labelled_documents, softmax_weights
 
 LABELS = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
 ALPHABET = 512
 LINE_LIMIT = 300
 PIECE = 200
-#: Log transition scores: a line keeps its neighbour's label unless its own figures say otherwise.
-STAY, MOVE = 0.0, -1.6
 
 STATS_SCHEMA = """
     n_chars bigint, n_words bigint, n_lines bigint, mean_word_length double, symbol_ratio double,
@@ -38,10 +38,11 @@ STATS_SCHEMA = """
 
 @dataclass
 class QualityModel:
-    """Letter-pair log likelihoods (folded code points below 512) and sorted function-word hashes."""
+    """Letter-pair log likelihoods (folded code points below 512), sorted function-word hashes, and the line model."""
 
     pairs: np.ndarray
     common: np.ndarray
+    lines: LineModel | None = None
 
 
 def letter_index(low: np.ndarray, cls: np.ndarray) -> np.ndarray:
@@ -49,8 +50,12 @@ def letter_index(low: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return np.where(letter, np.where(low < ALPHABET, low, ALPHABET - 1), 0).astype(np.int32)
 
 
-def fit(samples: list[tuple[str, str]], words_per_lang: int = 60) -> QualityModel:
-    """Model from (language, text) samples; each language has the same weight in the letter pairs."""
+def fit(samples: list[tuple[str, str]], words_per_lang: int = 60, n_docs: int = 1200) -> QualityModel:
+    """Model from (language, text) samples; each language has the same weight in the letter pairs.
+
+    The line model is fitted on ``n_docs`` made documents, half of the lines with letter pairs and
+    function words of the other half of the samples, so that running text is not known by heart.
+    """
     total = np.zeros((ALPHABET, ALPHABET))
     common: set[int] = set()
     for lang in sorted({lang for lang, _ in samples}):
@@ -65,7 +70,34 @@ def fit(samples: list[tuple[str, str]], words_per_lang: int = 60) -> QualityMode
         common.update(h[np.argsort(-n, kind="stable")[:words_per_lang]].tolist())
     row = total.sum(axis=1, keepdims=True)
     smooth = (total + row * 2e-5 + 1e-7) / (row * (1 + 2e-5 * ALPHABET) + 1e-7 * ALPHABET)
-    return QualityModel(np.log(smooth).astype(np.float32), np.array(sorted(common), np.uint64))
+    model = QualityModel(np.log(smooth).astype(np.float32), np.array(sorted(common), np.uint64))
+    model.lines = fit_lines(model, labelled_documents(samples, n_docs))
+    return model
+
+
+def fit_lines(model: QualityModel, documents: list[list[tuple[str, int]]]) -> LineModel:
+    """Emissions and transitions from documents of (line, label); long lines count in their stretches."""
+    x, y, paths = [], [], []
+    for part in tv.split_by_size(((d,) for d in documents), lambda r: sum(len(t) for t, _ in r[0])):
+        docs = [d for (d,) in part]
+        b = tv.block(["\n".join(t for t, _ in d) for d in docs])
+        seg = segments(b, model)
+        if seg is None:
+            continue
+        line = tv.prefix(b.cls == tv.NEWLINE)
+        at = line[seg.start] - line[b.start[seg.doc]]
+        label = np.array([docs[i][k][1] for i, k in zip(seg.doc.tolist(), at.tolist())])
+        x.append(features(seg.feats))
+        y.append(label)
+        paths += [p.tolist() for p in np.split(label, np.flatnonzero(np.diff(seg.doc)) + 1)]
+    k = len(LABELS)
+    if not y:
+        even = np.full(k, -np.log(k))
+        return LineModel(np.zeros((features_width(), k)), even, even, np.tile(even, (k, 1)))
+    xs, ys = np.concatenate(x), np.concatenate(y)
+    count = np.bincount(ys, minlength=k)
+    w = softmax_weights(xs, ys, (1.0 / np.maximum(count, 1))[ys], k)
+    return LineModel(w, np.full(k, -np.log(k)), *counted(paths, k))
 
 
 def fit_from_table(refs: DataFrame, max_refs: int = 5000) -> QualityModel:
@@ -236,8 +268,33 @@ def segments(b: tv.Block, model: QualityModel) -> Segments | None:
     return Segments(start, end, doc, closes, feats)
 
 
-def emissions(f: dict[str, np.ndarray]) -> np.ndarray:
-    """Log scores of the four labels for each line. The weights are fixed parameters of the model."""
+def features(f: dict[str, np.ndarray]) -> np.ndarray:
+    """What the line model sees of each line: shares, marks, and four sums of them that each speak for one label."""
+    tok, words, solid = (np.maximum(f[k], 1).astype(float) for k in ("n_tok", "n_words", "solid"))
+    sums = leanings(f) / 4.0
+    cols = [
+        np.ones(len(tok)), *np.clip(sums - sums.mean(axis=1, keepdims=True), -2.5, 2.5).T, np.log1p(tok) / 3, np.where(f["n_words"] >= 3, f["common"] / words, 0.15) * 3, f["n_words"] < 3,
+        (f["n_num"] + f["n_dash"]) / tok, f["symbol"] / solid, f["n_garbled"] / tok, f["n_lone"] / tok, f["repeated"] / tok, np.minimum(f["gaps"], 4) / 4, np.minimum(f["pipe"], 4) / 4,
+        np.minimum(1.0, 4.0 * f["semis"] / words), np.minimum(f["tight_semis"], 3) / 3, f["mark"], f["end_num"], f["end_year"], f["stop"], f["caps_start"], f["entry"], f["leaders"] > 0,
+        np.minimum(1.0, 3.0 * f["n_comma"] / tok), np.minimum(1.0, 5.0 * f["n_dash"] / tok), f["n_colon"] > 0, f["upper"] / np.maximum(f["letter"], 1), f["digit"] / solid,
+        np.clip(f["pair"] + 3.0, -3.0, 1.0), f["n_tok"] <= 8, f["n_tok"] > 25, f["opens"],
+    ]
+    return np.stack([np.asarray(c, float) for c in cols], axis=1)
+
+
+def features_width() -> int:
+    return 33
+
+
+def emissions(f: dict[str, np.ndarray], m: LineModel) -> np.ndarray:
+    """Log likelihood ratio of each line under the four labels."""
+    z = features(f) @ m.weights
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True)) - m.prior
+
+
+def leanings(f: dict[str, np.ndarray]) -> np.ndarray:
+    """Sums of line statistics that speak for each label."""
     tok = np.maximum(f["n_tok"], 1).astype(float)
     solid = np.maximum(f["solid"], 1).astype(float)
     words = np.maximum(f["n_words"], 1).astype(float)
@@ -285,7 +342,7 @@ def emissions(f: dict[str, np.ndarray]) -> np.ndarray:
     return out * np.clip(0.4 + solid / 60.0, 0.4, 1.5)[:, None]
 
 
-def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, m: LineModel) -> np.ndarray:
     """Most likely label sequence of every document; all documents advance one line at a time."""
     n = np.bincount(doc, minlength=n_docs)
     first = np.concatenate([[0], np.cumsum(n)])[:-1]
@@ -294,15 +351,13 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     alive = np.searchsorted(-n[order], -np.arange(1, longest + 1), side="right")
     k = score.shape[1]
     back = np.zeros(score.shape, np.int8)
-    trans = np.full((k, k), MOVE)
-    np.fill_diagonal(trans, STAY)
     best = np.zeros((n_docs, k))
     for step in range(longest):
         rows = first[order[: alive[step]]] + step
         if step == 0:
-            best = score[rows].copy()
+            best = score[rows] + m.start
             continue
-        via = best[: alive[step], :, None] + trans[None]
+        via = best[: alive[step], :, None] + m.trans[None]
         arg = via.argmax(axis=1)
         back[rows] = arg
         best[: alive[step]] = np.take_along_axis(via, arg[:, None, :], axis=1)[:, 0] + score[rows]
@@ -330,7 +385,7 @@ def measure(texts: list[str] | tv.Block, model: QualityModel) -> dict[str, np.nd
     if seg is None:
         return out
     f = seg.feats
-    label = viterbi(emissions(f), seg.doc, n)
+    label = viterbi(emissions(f, model.lines), seg.doc, n, model.lines)
 
     def total(x: np.ndarray) -> np.ndarray:
         return np.bincount(seg.doc, weights=x, minlength=n)

@@ -71,9 +71,37 @@ def test_large_bucket_loses_no_pair(spark):
     rows = [(f"d{i:03}", None, " ".join(base[:30] + [f"x{i}"] + base[30:])) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id string, title string, text string")
     sigs = neardup.signed(df, "doc_id", "title", "text", 3, 0)
-    classes = sigs.select("node", "bands", "sig")
-    few, many = (neardup.candidate_pairs(classes, 0.5, bucket=b, block=16) for b in (4, 1000))
-    assert {tuple(map(tuple, r)) for r in few.collect()} == {tuple(map(tuple, r)) for r in many.collect()}
+    classes = sigs.select("hi", "bands", "sig")
+    few, many, hot = (neardup.candidate_pairs(classes, 0.5, bucket=b, block=16, task_rows=t) for b, t in ((4, 10**6), (1000, 10**6), (4, 20)))
+    want = {tuple(r) for r in many.collect()}
+    assert len(want) == 90 * 89 // 2 and {tuple(r) for r in few.collect()} == want and {tuple(r) for r in hot.collect()} == want
+
+
+def test_buckets_over_batches(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice([1, 2, 3, 4, 5, 6, 7, 7, 7, 7, 7, 7]) if rnd.random() < 0.9 else rnd.randint(8, 60), rnd.randint(0, 300)) for _ in range(900)]
+    by: dict = {}
+    for h, x in rows:
+        by.setdefault(h, set()).add(x)
+    df = spark.createDataFrame(rows, "h bigint, hi bigint")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "100", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = neardup.bucket_rows(df, 70).collect()
+            assert len(got) == len(set(got))
+            assert {tuple(r) for r in got if r["b"] is not None} == {(h, a, b) for h, v in by.items() if len(v) <= 70 for a, b in itertools.combinations(sorted(v), 2)}
+            assert {(r["h"], r["a"]) for r in got if r["b"] is None} == {(h, a) for h, v in by.items() if len(v) > 70 for a in v}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_many_copies_make_all_pairs(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(f"d{i:02}", None, text) for i in range(30)], "doc_id string, title string, text string")
+    members, links = neardup.near_duplicate_links(df, k=3, threshold=0.5)
+    assert neardup.duplicate_pairs(members, links, part=7).count() == 30 * 29 // 2
+    assert {(r["group_id"], r["group_size"], r["n_links"]) for r in neardup.duplicate_groups(members, links).collect()} == {("d00", 30, 0)}
 
 
 def test_repetitive_pairs_match_brute_force(spark):

@@ -4,16 +4,17 @@ Each record is the set of its distinct word shingles, all of weight 1, as the ve
 them. ProbMinHash lets every shingle arrive by a Poisson process, each arrival hitting one register;
 a record is done once no further arrival can come before its slowest register (early termination).
 Registers agree with the Jaccard likeness of two records. Records of equal content form one class
-and only classes are banded: a pair of likeness 0.5 shares a band with chance 0.98. Buckets of up to
-``bucket`` classes are joined with themselves; larger ones are cut into blocks whose signatures are
-compared block by block, emitting only pairs that the signatures support, so no task holds a whole bucket.
-Every candidate pair is verified on its whole texts.
+and only classes are banded: a pair of likeness 0.5 shares a band with chance 0.98. Band rows are
+two numbers and are shuffled once, by bucket; a task reads its buckets in order and holds at most ``bucket``
+rows. Larger buckets are cut into blocks whose signatures are compared block by block, emitting only
+pairs that the signatures support; buckets too large for one task are found by counts over a fixed
+number of slots and never meet in one. Every candidate pair is verified on the 64-bit hashes of all
+its shingles, fetched only for classes that are in a candidate pair.
 """
 
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +106,14 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return flat.view(np.int64).reshape(n, m // ROWS)
 
 
+def records_of(df: DataFrame, id_col: str, title_col: str, text_col: str, min_chars: int) -> DataFrame:
+    keep = F.col(f"`{text_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & (F.length(f"`{text_col}`") >= min_chars)
+    return df.where(keep).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{title_col}`").alias("title"), F.col(f"`{text_col}`").alias("text"))
+
+
 def signed(df: DataFrame, id_col: str, title_col: str, text_col: str, k: int, min_chars: int) -> DataFrame:
-    """id, node (content class), shingle count, band hashes and one signature byte a register."""
-    src = df.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & (F.length(f"`{text_col}`") >= min_chars)).select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{title_col}`").alias("title"), F.col(f"`{text_col}`").alias("text")
-    )
+    """id, hi and lo (hashes of the content: its class), shingle count, band hashes and one signature byte a register."""
+    src = records_of(df, id_col, title_col, text_col, min_chars)
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -131,110 +135,196 @@ def signed(df: DataFrame, id_col: str, title_col: str, text_col: str, k: int, mi
                 )
                 at += len(part)
 
-    out = src.mapInArrow(run, f"id {kind}, hi bigint, lo bigint, n_shingles bigint, bands array<bigint>, sig binary")
-    return out.select("id", F.struct("hi", "lo").alias("node"), "n_shingles", "bands", "sig")
+    return src.mapInArrow(run, f"id {kind}, hi bigint, lo bigint, n_shingles bigint, bands array<bigint>, sig binary")
 
 
-def contents_of(df: DataFrame, id_col: str, title_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """node and content of every record."""
-    src = df.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & (F.length(f"`{text_col}`") >= min_chars)).select(
-        F.col(f"`{title_col}`").alias("title"), F.col(f"`{text_col}`").alias("text")
-    )
+def bucket_rows(rows: DataFrame, bucket: int) -> DataFrame:
+    """h, a, b: the pairs a < b of every bucket of up to ``bucket`` classes; of larger buckets each class as a, b null.
+
+    rows: h, hi. The shuffle is by h; a task streams over its sorted rows and holds one bucket at most.
+    """
 
     def run(batches):
+        h_open: int | None = None
+        held = np.zeros(0, np.int64)
+        large = False
+
+        def pairs(h: np.ndarray, x: np.ndarray, size: np.ndarray):
+            """All pairs of buckets of two or more, by size."""
+            start = np.cumsum(size) - size
+            for n in np.unique(size[size > 1]).tolist():
+                at = start[size == n]
+                i, j = np.triu_indices(n, 1)
+                yield np.repeat(h[at], len(i)), x[(at[:, None] + i).ravel()], x[(at[:, None] + j).ravel()]
+
+        def batch_of(parts):
+            h, a, b = (np.concatenate(c) for c in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(a), pa.array(b)], names=["h", "a", "b"])
+
+        def crowd(h: int, x: np.ndarray):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), h)), pa.array(x), pa.nulls(len(x), pa.int64())], names=["h", "a", "b"])
+
+        def closed():
+            if h_open is None or not len(held):
+                return
+            if large:
+                yield crowd(h_open, held)
+            elif len(held) > 1:
+                yield batch_of(list(pairs(np.full(len(held), h_open), held, np.array([len(held)]))))
+
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for part in tv.split_by_size(rows, lambda r: len(r[1])):
-                texts = [content(*r) for r in part]
-                _, words, doc = _layout(texts)
-                hi, lo = content_keys(words, doc, len(texts))
-                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(texts)], names=["hi", "lo", "content"])
+            h, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(h):
+                continue
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
+            h, x = h[fresh], x[fresh]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(first, len(h)))
+            begin = 0
+            if h_open is not None and h[0] == h_open:
+                own = x[: size[0]]
+                held = np.concatenate([held, own[own != held[-1]] if len(held) else own])
+                begin = 1
+                if len(held) > bucket or large:
+                    large = True
+                    if len(first) == 1:  # the bucket goes on: hold no more of it than needed to tell repeats
+                        yield crowd(h_open, held[:-1])
+                        held = held[-1:]
+                if len(first) == 1:
+                    continue
+            yield from closed()
+            if begin < len(first) - 1:
+                lo, hi = first[begin], first[-1]
+                sizes = size[begin:-1]
+                wide = np.repeat(sizes > bucket, sizes)
+                if wide.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(h[lo:hi][wide]), pa.array(x[lo:hi][wide]), pa.nulls(int(wide.sum()), pa.int64())], names=["h", "a", "b"])
+                got = list(pairs(h[lo:hi][~wide], x[lo:hi][~wide], sizes[sizes <= bucket]))
+                if got:
+                    yield batch_of(got)
+            h_open, held = int(h[-1]), x[first[-1] :]
+            large = len(held) > bucket
+        yield from closed()
+
+    return rows.repartition("h").sortWithinPartitions("h", "hi").mapInArrow(run, "h bigint, a bigint, b bigint")
+
+
+SLOTS = 4096
+
+
+def too_large(rows: DataFrame, least: int) -> DataFrame | None:
+    """h of the buckets that hold more than half of ``least`` and of eight average slots; null if there is none.
+
+    Slots are counted first, a fixed number; only rows of overfull ones are counted by bucket, so at most SLOTS / 4 can result.
+    """
+    slots = {r[0]: r[1] for r in rows.groupBy(F.pmod("h", F.lit(SLOTS)).alias("s")).count().collect()}
+    limit = max(least, 8 * sum(slots.values()) // SLOTS)
+    full = [s for s, n in slots.items() if n > limit]
+    if not full:
+        return None
+    counts = rows.where(F.pmod("h", F.lit(SLOTS)).isin(full)).groupBy("h").count()
+    return checkpointed(counts.where(F.col("count") > limit // 2).select("h"))
 
-    return src.mapInArrow(run, "hi bigint, lo bigint, content string").select(F.struct("hi", "lo").alias("node"), "content")
 
+def _block_pairs(rows: DataFrame, sigs: DataFrame, block: int, floor: float) -> DataFrame:
+    """Supported pairs of the large buckets. rows: h, hi; sigs: hi, sig.
 
-def _block_pairs(rows: DataFrame, block: int, floor: float) -> DataFrame:
-    """Supported pairs of the large buckets. rows: band, h, node, sig, n (bucket size)."""
-    salted = rows.withColumn("n_blocks", F.ceil(F.col("n") / block).cast("int")).withColumn(
-        "blk", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    )
+    Each bucket's classes are dealt over blocks; a cell compares two blocks. A class travels once to each
+    block of its bucket, its signature with it; what leaves a cell are pairs whose registers agree enough.
+    """
+    sizes = rows.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    dealt = rows.join(sizes, "h").join(sigs, "hi").withColumn("blk", F.pmod(F.xxhash64("hi"), F.col("n_blocks")).cast("int"))
     # block b meets every block: it goes to the cells (min, max) of b and each other block number
-    cells = salted.select(
-        "band", "h", "node", "sig", "blk", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.struct(F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j")))).alias("cell")
+    cells = dealt.select("h", "hi", "sig", "blk", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("j")).select(
+        "h", "hi", "sig", "blk", F.least("blk", "j").alias("i"), F.greatest("blk", "j").alias("j")
     )
 
     def run(pdf):
         import pandas as pd
 
-        i, j = pdf["cell"].iloc[0]["i"], pdf["cell"].iloc[0]["j"]
-        left, right = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
-        a = np.stack([np.frombuffer(x, np.uint8) for x in left["sig"]]) if len(left) else np.zeros((0, 1), np.uint8)
-        c = np.stack([np.frombuffer(x, np.uint8) for x in right["sig"]]) if len(right) else np.zeros((0, 1), np.uint8)
-        la, lc = list(left["node"]), list(right["node"])
-        out = []
-        for x in range(len(la)):
-            hit = np.flatnonzero((a[x] == c).mean(axis=1) >= floor) if len(lc) else []
-            for y in hit:
-                p, q = (la[x]["hi"], la[x]["lo"]), (lc[y]["hi"], lc[y]["lo"])
-                if p < q or (i != j and p > q):
-                    out.append((*min(p, q), *max(p, q)))
-        return pd.DataFrame(out, columns=["ahi", "alo", "bhi", "blo"])
-
-    got = cells.groupBy("band", "h", "cell").applyInPandas(run, "ahi bigint, alo bigint, bhi bigint, blo bigint")
-    return got.select(F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b"))
-
-
-def candidate_pairs(classes: DataFrame, threshold: float, bucket: int = 64, block: int = 512) -> DataFrame:
-    """Distinct pairs (a < b) of classes that share a bucket. classes: node, bands, sig."""
-    rows = classes.select("node", F.posexplode("bands").alias("band", "h"))
-    sizes = rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 1")
-    sizes = checkpointed(sizes)
-    two = sizes.where("n = 2").select("a", "b")
-    several = rows.join(sizes.where(f"n > 2 and n <= {bucket}").select("band", "h"), ["band", "h"])
-    left, right = several.withColumnRenamed("node", "a"), several.withColumnRenamed("node", "b")
-    small = left.join(right, ["band", "h"]).where("a < b").select("a", "b")
-    large = sizes.where(f"n > {bucket}").select("band", "h", "n")
-    out = two.unionByName(small)
-    if not large.isEmpty():
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        side, node = pdf["blk"].to_numpy(), pdf["hi"].to_numpy()
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        a, c = sig[left], sig[right]
+        need = int(np.ceil(floor * sig.shape[1]))
+        out_a, out_b = [], []
+        for x in range(len(left)):
+            # in the cell of a block with itself each pair once
+            to = right if i != j else right[node[right] > node[left[x]]]
+            if not len(to):
+                continue
+            agree = (a[x] == (c if i != j else sig[to])).sum(axis=1)
+            hit = to[agree >= need]
+            out_a.append(np.full(len(hit), node[left[x]]))
+            out_b.append(node[hit])
+        p = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+        q = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    return cells.groupBy("h", "i", "j").applyInPandas(run, "a bigint, b bigint").where("a < b")
+
+
+def candidate_pairs(classes: DataFrame, threshold: float, bucket: int = 64, block: int = 512, task_rows: int = 4_000_000) -> DataFrame:
+    """Distinct pairs (a < b, by hi) of classes that share a bucket. classes: hi, bands, sig."""
+    rows = classes.select(F.explode("bands").alias("h"), "hi")
+    hot = too_large(rows, task_rows)
+    usual = rows if hot is None else rows.join(F.broadcast(hot), "h", "left_anti")
+    found = checkpointed(bucket_rows(usual, bucket))
+    out = found.where("b is not null").select("a", "b")
+    crowd = found.where("b is null").select("h", F.col("a").alias("hi"))
+    if hot is not None:
+        crowd = crowd.unionByName(rows.join(F.broadcast(hot), "h", "left_semi").distinct())
+    if not crowd.isEmpty():
         floor = max(0.0, threshold - 4.5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5)
-        crowd = rows.join(large, ["band", "h"]).join(classes.select("node", "sig"), "node")
-        out = out.unionByName(_block_pairs(crowd, block, floor))
+        out = out.unionByName(_block_pairs(crowd, classes.select("hi", "sig").dropDuplicates(["hi"]), block, floor))
     return out.distinct()
 
 
-def verified(pairs: DataFrame, contents: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs whose distinct k-word shingles are at least ``threshold`` alike, with the likeness."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    text = checkpointed(contents.join(need, "node", "left_semi").dropDuplicates(["node"]))
-    both = (
-        pairs.join(text.select(F.col("node").alias("a"), F.col("content").alias("ca")), "a")
-        .join(text.select(F.col("node").alias("b"), F.col("content").alias("cb")), "b")
-        .select(F.col("a.hi").alias("ahi"), F.col("a.lo").alias("alo"), F.col("b.hi").alias("bhi"), F.col("b.lo").alias("blo"), "ca", "cb")
-    )
+def shingles_of(records: DataFrame, k: int) -> DataFrame:
+    """hi, lo and the sorted distinct 64-bit shingle hashes of every record (columns id, title, text)."""
 
     def run(batches):
-        kept: OrderedDict[tuple, set] = OrderedDict()
-
-        def grams(key: tuple, text_: str) -> set:
-            got = kept.get(key)
-            if got is None:
-                got = kept[key] = shingle_set(WORD.findall(text_), k)
-                if len(kept) > 256:
-                    kept.popitem(last=False)
-            return got
+        for batch in batches:
+            for part in tv.split_by_size(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()), lambda r: len(r[1])):
+                _, words, doc = _layout([content(*r) for r in part])
+                hi, lo = content_keys(words, doc, len(part))
+                first = np.searchsorted(doc, np.arange(len(part) + 1))
+                grams = []
+                for i in range(len(part)):
+                    at = np.arange(first[i], first[i + 1] - k + 1)
+                    grams.append(np.unique(tv.range_hash(words[first[i] : first[i + 1]], at - first[i], at - first[i] + k)).tobytes() if len(at) else b"")
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(grams, pa.binary())], names=["hi", "lo", "grams"])
+
+    return records.mapInArrow(run, "hi bigint, lo bigint, grams binary")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, records: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs whose distinct k-word shingles are at least ``threshold`` alike, with the likeness. classes: hi, lo, rep."""
+    need = checkpointed(pairs.select(F.col("a").alias("hi")).unionByName(pairs.select(F.col("b").alias("hi"))).distinct())
+    reps = classes.join(need, "hi", "left_semi").select(F.col("rep").alias("id")).distinct()
+    grams = shingles_of(records.join(reps, "id", "left_semi"), k).join(need, "hi", "left_semi").dropDuplicates(["hi", "lo"])
+    grams = checkpointed(grams)
+    side = lambda c: grams.select(F.col("hi").alias(c), F.col("lo").alias(f"{c}lo"), F.col("grams").alias(f"{c}g"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "alo", "b", "blo", "ag", "bg")
 
+    def run(batches):
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            out = []
-            for ahi, alo, bhi, blo, ca, cb in zip(*cols):
-                x, y = grams((ahi, alo), ca), grams((bhi, blo), cb)
-                common = len(x & y)
-                alike = common / max(1, len(x) + len(y) - common)
-                if alike >= threshold:
-                    out.append((ahi, alo, bhi, blo, alike))
-            if out:
-                types = [pa.int64()] * 4 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=["ahi", "alo", "bhi", "blo", "likeness"])
+            keep, alike = [], []
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
+                    continue
+                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+                common = int((q[at] == p).sum())
+                likeness = common / max(1, len(p) + len(q) - common)
+                if likeness >= threshold:
+                    keep.append(i)
+                    alike.append(likeness)
+            if keep:
+                cols = [batch.column(c).take(pa.array(keep)) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(alike, pa.float64())], names=["ahi", "alo", "bhi", "blo", "likeness"])
 
     got = both.mapInArrow(run, "ahi bigint, alo bigint, bhi bigint, blo bigint, likeness double")
     return got.select(F.struct(F.col("ahi").alias("hi"), F.col("alo").alias("lo")).alias("a"), F.struct(F.col("bhi").alias("hi"), F.col("blo").alias("lo")).alias("b"), "likeness")
@@ -250,21 +340,29 @@ def near_duplicate_links(
     Only the named columns are read, so further columns may have any name.
     """
     sigs = checkpointed(signed(df, id_col, title_col, text_col, k, min_chars))
-    members = sigs.select("id", "node", "n_shingles").distinct()
-    classes = sigs.where("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    members = sigs.select("id", F.struct("hi", "lo").alias("node"), "n_shingles").distinct()
+    classes = sigs.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = checkpointed(classes)
     pairs = checkpointed(candidate_pairs(classes, threshold))
-    links = verified(pairs, contents_of(df, id_col, title_col, text_col, min_chars), k, threshold)
+    links = verified(pairs, classes, records_of(df, id_col, title_col, text_col, min_chars), k, threshold)
     return members, links
 
 
-def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Every pair of different ids alike enough, smaller id first: between linked classes and within one."""
+def duplicate_pairs(members: DataFrame, links: DataFrame, part: int = 1000) -> DataFrame:
+    """Every pair of different ids alike enough, smaller id first: between linked classes and within one.
+
+    ``duplicate_groups`` says the same without expanding copies; where all pairs are asked for, a class of more
+    than ``part`` copies is dealt over as many tasks as it has parts.
+    """
     m = members.where("n_shingles > 0").select("id", "node")
     across = (
         links.select("a", "b").join(m.select(F.col("id").alias("x"), F.col("node").alias("a")), "a").join(m.select(F.col("id").alias("y"), F.col("node").alias("b")), "b")
     )
-    copies = m.join(m.groupBy("node").count().where("count > 1").select("node"), "node", "left_semi")
-    within = copies.select(F.col("id").alias("x"), "node").join(copies.select(F.col("id").alias("y"), "node"), "node").where("x < y")
+    sizes = m.groupBy("node").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = m.join(sizes, "node")
+    left = copies.select(F.col("id").alias("x"), "node", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    right = copies.select(F.col("id").alias("y"), "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = left.join(right, ["node", "part"]).where("x < y")
     both = across.select("x", "y").unionByName(within.select("x", "y")).where("x <> y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

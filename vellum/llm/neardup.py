@@ -211,6 +211,8 @@ def bucket_rows(rows: DataFrame, bucket: int) -> DataFrame:
 
 
 SLOTS = 4096
+#: Up to so many ids (some MB) are broadcast to fetch their records; beyond, the records are shuffled by id.
+FEW = 100_000
 
 
 def too_large(rows: DataFrame, least: int) -> DataFrame | None:
@@ -267,7 +269,7 @@ def _block_pairs(rows: DataFrame, sigs: DataFrame, block: int, floor: float) ->
 
 
 def candidate_pairs(classes: DataFrame, threshold: float, bucket: int = 64, block: int = 512, task_rows: int = 4_000_000) -> DataFrame:
-    """Distinct pairs (a < b, by hi) of classes that share a bucket. classes: hi, bands, sig."""
+    """Distinct pairs (a < b, by hi) of classes that share a bucket. classes: hi, bands, sig; copies may repeat."""
     rows = classes.select(F.explode("bands").alias("h"), "hi")
     hot = too_large(rows, task_rows)
     usual = rows if hot is None else rows.join(F.broadcast(hot), "h", "left_anti")
@@ -303,7 +305,9 @@ def shingles_of(records: DataFrame, k: int) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, records: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs whose distinct k-word shingles are at least ``threshold`` alike, with the likeness. classes: hi, lo, rep."""
     need = checkpointed(pairs.select(F.col("a").alias("hi")).unionByName(pairs.select(F.col("b").alias("hi"))).distinct())
-    reps = classes.join(need, "hi", "left_semi").select(F.col("rep").alias("id")).distinct()
+    reps = checkpointed(classes.join(need, "hi", "left_semi").select(F.col("rep").alias("id")).distinct())
+    if reps.count() <= FEW:
+        reps = F.broadcast(reps)
     grams = shingles_of(records.join(reps, "id", "left_semi"), k).join(need, "hi", "left_semi").dropDuplicates(["hi", "lo"])
     grams = checkpointed(grams)
     side = lambda c: grams.select(F.col("hi").alias(c), F.col("lo").alias(f"{c}lo"), F.col("grams").alias(f"{c}g"))
@@ -341,9 +345,9 @@ def near_duplicate_links(
     """
     sigs = checkpointed(signed(df, id_col, title_col, text_col, k, min_chars))
     members = sigs.select("id", F.struct("hi", "lo").alias("node"), "n_shingles").distinct()
-    classes = sigs.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = checkpointed(classes)
-    pairs = checkpointed(candidate_pairs(classes, threshold))
+    able = sigs.where("n_shingles > 0")
+    pairs = checkpointed(candidate_pairs(able.select("hi", "bands", "sig"), threshold))
+    classes = able.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     links = verified(pairs, classes, records_of(df, id_col, title_col, text_col, min_chars), k, threshold)
     return members, links
 

@@ -202,11 +202,25 @@ def test_crlf_is_no_blank_line():
 # 4 pairs
 
 
-def test_refusal_counts_every_clause(spark):
+def conversations(spark, rows):
+    return spark.createDataFrame([(i, [("user", q), ("assistant", a)]) for i, q, a in rows], "conv_id bigint, messages array<struct<role:string,content:string>>")
+
+
+def test_refusal_counts_every_clause(spark, models):
     no = "I cannot answer that question; " * 3
     many = no + "one, two, three, four, five, six, seven, eight, nine, but the wheel of the mill is turned by the water of the hill."
-    df = spark.createDataFrame([(1, 1, "Why?", no), (2, 1, "How many are there?", many), (3, 1, "What?", None)], "id int, pair_no int, question string, answer string")
-    assert [tuple(r) for r in instruct.refusals(df).collect()] == [(1, 1)]
+    answer = no + " ".join(f"As to the matter {i} of it, the great wheel number {i * 3} of the mill was turned by the water of hill {i * 5}." for i in range(14))
+    df = conversations(spark, [(1, "Why?", no), (2, "How many are there?", many), (3, "What?", None), (4, "What turned the wheel of the mill?", answer)])
+    assert {r["conv_id"]: r["defect"] for r in instruct.pair_defects(df, models[1]).collect()} == {1: "refusal", 2: None, 3: "empty", 4: None}
+
+
+def test_long_refusals(spark, models):
+    parts = ["I must humbly beg that you will not press me for any reply upon this point", "the rules by which I am bound leave me no freedom to treat of it at all", "you would do well to look to some other friend for what you want", "pray take this for all that can be said to you here today"]
+    long = ". ".join((parts * 8)[:9]) + "."
+    assert len(long.split()) > 115
+    df = conversations(spark, [(i, f"What is the use of the wheel number {i} in the mill?", long if i < 30 else f"I must not forget wheel {i}, which was turned by the water of hill {i * 7} and by nothing else, as all who came to house {i * 3} saw.") for i in range(40)])
+    got = {r["conv_id"]: r["defect"] for r in instruct.pair_defects(df, models[1]).collect()}
+    assert [i for i in range(40) if got[i] == "refusal"] == list(range(30))
 
 
 def test_defects(spark, models):

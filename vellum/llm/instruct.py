@@ -1,15 +1,17 @@
 """Defects of question-answer pairs: empty, copied, refusal, wrong language, truncated.
 
-Refusals are found by the templates of their openings. The clauses that open short answers are
-reduced to distinct texts and clustered by MinHash with exact verification (word pairs, likeness
-0.6). A cluster is a template if its clauses open the answers of several unrelated prompts or if it
-holds one of the seed templates; a template that declines in the first person is a refusal
-template. An answer is a refusal if such a template is among its opening clauses and next to
-nothing but templates is left of it. Copies, languages and endings are checked pair by pair.
+Refusals are found by the templates of their openings. The first-person clauses that open answers, whatever
+the answer's length, are reduced to distinct texts and clustered by MinHash with exact verification (word
+pairs, likeness 0.6). A cluster, a clause and those alike to it, is a template if it opens the answers of
+several unrelated prompts or if it holds one of the seed templates; a template that declines in the
+first person is a refusal template. An answer is a refusal if such a template is among its opening clauses
+and little of it lies outside templates: outside the clusters and outside clauses that recur in other
+answers of that kind. Copies, languages and endings are checked pair by pair.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -21,11 +23,11 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import checkpointed
 from .language import LanguageModel, word_scores
-from .neardup import components, near_duplicate_links
+from .neardup import FEW, near_duplicate_links
 
-#: Answers of more words say something beside a refusal.
-REFUSAL_WORDS = 60
 OPENING_CLAUSES = 5
+#: An answer declines if at most so many words, or this share of its words, lie outside templates.
+SPARE_WORDS, SPARE_SHARE = 9, 0.2
 #: Known ways to decline, which need not recur to count (fixed values).
 SEEDS = (
     "i cannot answer that question", "i can't do that", "i am not able to help with this matter", "i am unable to comply with your request",
@@ -40,7 +42,8 @@ SEEDS = (
 FIRST_PERSON = re.compile(r"\b(?:i|me|my|mine|we|je|ich|ik|no puedo|non posso|possum)\b")
 DECLINE = re.compile(r"\b(?:not|no|cannot|can't|don't|won't|unable|decline|nothing|outside|refuse|beyond|excused|never|pas|nicht|niet|non)\b")
 DOUBLE = re.compile(r"\b(?:cannot|can't|could not|couldn't) (?:but|help)\b")
-CLAUSE = r"[.!?;:,\n]+"
+CLAUSE = re.compile(r"[.!?;:,\n]+")
+LEAD = re.compile(r"^(?:but|for|and|as|then|unfortunately|alas|i regret that|that) (?=.* .* )")
 NAMES = {
     "en": "english|anglais|englisch\\w*|inglés|inglese|engels\\w*|anglic\\w*", "fr": "french|français|französisch\\w*|francés|francese|frans\\w*|gallic\\w*",
     "de": "german|allemand|deutsch\\w*|alemán|tedesco|duits\\w*|germanic\\w*", "la": "latin\\w*|latein\\w*|latijn\\w*", "it": "italian\\w*|italien|italienisch\\w*|italiaans\\w*",
@@ -63,17 +66,17 @@ WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 def pairs(df: DataFrame, id_col: str = "conv_id", messages_col: str = "messages") -> DataFrame:
     """id, pair_no, question, answer: one row per user message; the answer is the assistant message right after, else null.
 
-    Repeated conversations give one row. Null messages arrays and null roles give no pair.
+    Null messages arrays and null roles give no pair. Repeated conversations give repeated rows.
     """
     m = F.col("m")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{messages_col}`").alias("m")).where("m is not null").distinct()
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{messages_col}`").alias("m")).where("m is not null")
     at = F.filter(F.transform(m, lambda x, i: F.struct(i.alias("i"), F.lower(F.trim(x["role"])).alias("role"))), lambda x: x["role"] == "user")
     each = rows.select("id", "m", F.posexplode(at).alias("k", "u"))
     nxt = F.get("m", F.col("u.i") + 1)
     return each.select(
         F.col("id"), (F.col("k") + 1).cast("int").alias("pair_no"), F.get("m", F.col("u.i"))["content"].alias("question"),
         F.when(F.lower(F.trim(nxt["role"])) == "assistant", nxt["content"]).alias("answer"),
-    ).distinct()
+    )
 
 
 def is_empty(answer: str | None) -> bool:
@@ -143,8 +146,31 @@ def languages_of(texts: list[str], model: LanguageModel, min_words: int = 4) ->
     return [model.langs[top[i]] if sure[i] else None for i in range(b.n)]
 
 
+def clauses_of(answer: str) -> list[str]:
+    """All clauses of an answer, lower case, without words that only lead over."""
+    parts = (" ".join(x.split()) for x in CLAUSE.split(answer.strip().lower().replace("‘", "'").replace("’", "'")))
+    return [LEAD.sub("", x) for x in parts if x]
+
+
+def clause_key(text: str) -> int:
+    b = text.encode()
+    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "big", signed=True)
+
+
+def opens_personally(clauses: list[str]) -> list[str]:
+    """Opening clauses of three words or more in the first person."""
+    return [c for c in clauses[:OPENING_CLAUSES] if c.count(" ") >= 2 and FIRST_PERSON.search(c)]
+
+
+CHECKED = "pair_no int, text_key bigint, prompt bigint, is_empty boolean, copied boolean, wrong_language boolean, truncated boolean, opening array<string>, clauses array<string>"
+
+
 def pair_checks(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """id, pair_no, is_empty, copied, wrong_language, truncated, question, answer."""
+    """id, pair_no, keys of the pair's texts and of its prompt, the checks, and the clauses of answers that open in the first person.
+
+    ``opening`` has their opening clauses in the first person, ``clauses`` all clauses; both are null for other
+    answers, and for empty or copied ones.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -158,74 +184,87 @@ def pair_checks(rows: DataFrame, model: LanguageModel) -> DataFrame:
                 none = [is_empty(a) for _, a in part]
                 copied = [not e and bool(q) and is_copy(q, a) for e, (q, a) in zip(none, part)]
                 cut = [not e and is_truncated(a) for e, (_, a) in zip(none, part)]
-                foreign = []
-                for ql, al, (q, _) in zip(q_lang, a_lang, part):
+                foreign, opening, clauses, keys, prompts = [], [], [], [], []
+                for ql, al, e, c, (q, a) in zip(q_lang, a_lang, none, copied, part):
                     foreign.append(ql is not None and al is not None and ql != al and not (al in ASKED and ASKED[al].search(q or "")))
-                ids = [batch.column(i).slice(at, len(part)) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x, pa.bool_()) for x in (none, copied, foreign, cut))], names=["id", "pair_no", "question", "answer", "is_empty", "copied", "wrong_language", "truncated"])
+                    own = clauses_of(a) if not e and not c else []
+                    first = opens_personally(own)
+                    opening.append(first or None)
+                    clauses.append(own if first else None)
+                    prompt = " ".join((q or "").lower().split())
+                    prompts.append(clause_key(prompt))
+                    keys.append(clause_key(f"{q}\x00{a}"))
+                ids = [batch.column(i).slice(at, len(part)) for i in range(2)]
+                flags = [pa.array(x, pa.bool_()) for x in (none, copied, foreign, cut)]
+                texts = [pa.array(x, pa.list_(pa.string())) for x in (opening, clauses)]
+                names = ["id", "pair_no", "text_key", "prompt", "is_empty", "copied", "wrong_language", "truncated", "opening", "clauses"]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(keys, pa.int64()), pa.array(prompts, pa.int64()), *flags, *texts], names=names)
                 at += len(part)
 
-    return rows.mapInArrow(run, f"id {kind}, pair_no int, question string, answer string, is_empty boolean, copied boolean, wrong_language boolean, truncated boolean")
-
+    return rows.mapInArrow(run, f"id {kind}, {CHECKED}")
 
-def opening_clauses(rows: DataFrame) -> DataFrame:
-    """id, pair_no, prompt, clause_no, clause, n_words of all clauses of short answers; the opening is the first of them."""
-    text = F.lower(F.regexp_replace(F.trim("answer"), "[‘’]", "'"))
-    words = F.size(F.split(F.trim("answer"), r"\s+"))
-    clauses = F.filter(F.transform(F.split(text, CLAUSE), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))), lambda c: c != "")
-    short = rows.where(F.col("answer").isNotNull() & (words <= REFUSAL_WORDS))
-    each = short.select("id", "pair_no", F.xxhash64(F.lower(F.trim("question"))).alias("prompt"), F.posexplode(clauses).alias("clause_no", "clause"))
-    return each.withColumn("clause", F.regexp_replace("clause", "^(?:but|for|and|as|then|unfortunately|alas|i regret that|that) (?=.* .* )", "")).withColumn("n_words", F.size(F.split("clause", " ")))
 
+def templates(opening: DataFrame, min_prompts: int = 3) -> DataFrame:
+    """clause, recurs, declines: opening clauses in clusters that recur across prompts or hold a seed.
 
-def templates(clauses: DataFrame, min_prompts: int = 3) -> DataFrame:
-    """clause, n_prompts, declines: clauses of clusters that recur across prompts or hold a seed.
-
-    ``declines`` marks refusal templates.
+    opening: clause, prompt. ``declines`` marks refusal templates; a clause that says no itself and is alike to
+    a refusal template is one too.
     """
-    spark = clauses.sparkSession
-    plain = F.regexp_replace(F.col("clause"), "[^a-z0-9à-ÿ ]", "")
-    first = clauses.where(f"clause_no < {OPENING_CLAUSES} and n_words >= 3 and n_words <= 24").groupBy("clause").agg(F.countDistinct("prompt").alias("prompts"))
-    seeds = spark.createDataFrame([(s,) for s in SEEDS], "clause string").select("clause", F.lit(0).cast("bigint").alias("prompts"), F.lit(True).alias("seed"))
-    texts = checkpointed(first.withColumn("seed", F.lit(False)).unionByName(seeds).groupBy("clause").agg(F.sum("prompts").alias("prompts"), F.max("seed").alias("seed")).withColumn("none", F.lit(None).cast("string")).withColumn("body", plain))
-    # only what recurs, is a seed or speaks in the first person can belong to a refusal template
-    able = texts.where(F.col("seed") | (F.col("prompts") >= 2) | F.col("clause").rlike(FIRST_PERSON.pattern))
-    members, links = near_duplicate_links(able, "clause", "none", "body", k=2, threshold=0.6)
-    label = components(members, links)
-    named = members.join(label, "node").select(F.col("id").alias("clause"), "label").join(texts.select("clause", "prompts", "seed"), "clause")
-    whole = named.groupBy("label").agg(F.sum("prompts").alias("n_prompts"), F.max("seed").alias("seeded"))
-    rows = named.join(whole, "label")
+    spark = opening.sparkSession
+    seeds = spark.createDataFrame([(s,) for s in SEEDS], "clause string").select("clause", F.lit(None).cast("bigint").alias("prompt"), F.lit(True).alias("seed"))
+    every = opening.select("clause", "prompt", F.lit(False).alias("seed")).unionByName(seeds)
+    texts = every.groupBy("clause").agg(F.countDistinct("prompt").alias("prompts"), F.max("seed").alias("seed"))
+    texts = checkpointed(texts.select("clause", "prompts", "seed", F.regexp_replace("clause", "[^a-z0-9à-ÿ ]", "").alias("body"), F.lit(None).cast("string").alias("none")))
+    members, links = near_duplicate_links(texts, "clause", "none", "body", k=2, threshold=0.6)
     says_no = F.col("clause").rlike(FIRST_PERSON.pattern) & F.col("clause").rlike(DECLINE.pattern) & ~F.col("clause").rlike(DOUBLE.pattern)
-    return rows.select("clause", "n_prompts", (F.col("seeded") | ((F.col("n_prompts") >= min_prompts) & says_no)).alias("declines"), (F.col("n_prompts") >= min_prompts).alias("recurs"))
-
-
-def refusals(rows: DataFrame, spare_words: int = 9, min_prompts: int = 3) -> DataFrame:
-    """id, pair_no of answers that decline."""
-    clauses = checkpointed(opening_clauses(rows))
-    known = templates(clauses, min_prompts)
-    # a clause outside the opening, as a closing formula, counts as a template where it recurs
-    again = clauses.groupBy("clause").agg(F.countDistinct("prompt").alias("n")).where(f"n >= {min_prompts}").select("clause", F.lit(True).alias("again"))
-    marked = clauses.join(known.select("clause", "declines", "recurs"), "clause", "left").join(again, "clause", "left")
-    formula = F.coalesce("declines", F.lit(False)) | F.coalesce("recurs", F.lit(False)) | F.coalesce("again", F.lit(False))
-    return (
-        marked.groupBy("id", "pair_no")
-        .agg(F.max(F.coalesce("declines", F.lit(False)) & (F.col("clause_no") < OPENING_CLAUSES)).alias("declines"), F.sum(F.when(formula, 0).otherwise(F.col("n_words"))).alias("spare"), F.sum("n_words").alias("words"))
-        .where(f"declines and spare <= {spare_words}")
-        .select("id", "pair_no")
+    facts = members.select(F.col("id").alias("clause"), "node").join(texts.select("clause", "prompts", "seed"), "clause").withColumn("says_no", says_no)
+    # clauses of equal words are one node; a node's cluster is it and the nodes linked to it
+    nodes = checkpointed(facts.groupBy("node").agg(F.sum("prompts").alias("prompts"), F.max("seed").alias("seed"), F.max("says_no").alias("says_no")))
+    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+
+    def around(column: str, agg) -> DataFrame:
+        """``agg`` of a column over the nodes linked to each node."""
+        return both.join(nodes.select(F.col("node").alias("b"), column), "b").groupBy(F.col("a").alias("node")).agg(agg(column).alias("near"))
+
+    near = around("prompts", F.sum).withColumnRenamed("near", "near_prompts").join(around("seed", F.max).withColumnRenamed("near", "near_seed"), "node")
+    n = F.col("prompts") + F.coalesce("near_prompts", F.lit(0))
+    first = nodes.join(near, "node", "left").select(
+        "node", "says_no", (n >= min_prompts).alias("recurs"), (F.col("seed") | F.coalesce("near_seed", F.lit(False)) | ((n >= min_prompts) & F.col("says_no"))).alias("declines")
     )
+    nodes = first = checkpointed(first)
+    near = around("declines", F.max)
+    final = first.join(near, "node", "left").select("node", "recurs", (F.col("declines") | (F.col("says_no") & F.coalesce("near", F.lit(False)))).alias("declines"))
+    return facts.select("clause", "node").join(final.where("recurs or declines"), "node").select("clause", "recurs", "declines")
+
+
+def refusals(checks: DataFrame, min_prompts: int = 3) -> DataFrame:
+    """id, pair_no, text_key of answers that decline. checks: as ``pair_checks`` has them."""
+    spoken = checks.where("opening is not null")
+    known = checkpointed(templates(spoken.select(F.explode("opening").alias("clause"), "prompt"), min_prompts))
+    few = (lambda df: F.broadcast(df)) if known.count() <= FEW else (lambda df: df)
+    hit = spoken.select("id", "pair_no", "text_key", F.explode("opening").alias("clause")).join(few(known.where("declines").select("clause")), "clause", "left_semi")
+    able = hit.select("id", "pair_no", "text_key").distinct()
+    each = spoken.join(able, ["id", "pair_no", "text_key"], "left_semi").dropDuplicates(["id", "pair_no", "text_key"])
+    each = checkpointed(each.select("id", "pair_no", "text_key", "prompt", F.posexplode("clauses").alias("clause_no", "clause")).withColumn("n_words", F.size(F.split("clause", " "))))
+    # a clause outside the opening, as a closing formula, counts as a template where it recurs in answers that open with one
+    again = each.groupBy("clause").agg(F.countDistinct("prompt").alias("n")).where(f"n >= {min_prompts}").select("clause").unionByName(known.select("clause")).distinct()
+    marked = each.join(again.withColumn("formula", F.lit(True)), "clause", "left")
+    spare = F.sum(F.when(F.col("formula"), 0).otherwise(F.col("n_words")))
+    out = marked.groupBy("id", "pair_no", "text_key").agg(spare.alias("spare"), F.sum("n_words").alias("words"))
+    return out.where((F.col("spare") <= SPARE_WORDS) | (F.col("spare") <= SPARE_SHARE * F.col("words"))).select("id", "pair_no", "text_key")
 
 
 def pair_defects(df: DataFrame, model: LanguageModel, id_col: str = "conv_id", messages_col: str = "messages") -> DataFrame:
     """id, pair_no, defect: one row per pair, defect null for a sound one.
 
     The first that holds of empty, copied, refusal, wrong_language, truncated. A blank question
-    makes no defect by itself.
+    makes no defect by itself. A conversation delivered again gives its rows once; one id with other
+    texts has rows for each.
     """
-    rows = checkpointed(pair_checks(pairs(df, id_col, messages_col), model))
-    declined = refusals(rows.where("not is_empty and not copied")).withColumn("refusal", F.lit(True))
+    checks = checkpointed(pair_checks(pairs(df, id_col, messages_col), model))
+    declined = refusals(checks).withColumn("refusal", F.lit(True))
     defect = (
         F.when(F.col("is_empty"), "empty").when(F.col("copied"), "copied").when(F.coalesce("refusal", F.lit(False)), "refusal").when(F.col("wrong_language"), "wrong_language").when(F.col("truncated"), "truncated")
     )
-    return rows.join(declined, ["id", "pair_no"], "left").select(F.col("id").alias(id_col), "pair_no", defect.alias("defect"))
-
-
+    rows = checks.drop("opening", "clauses", "prompt").distinct()
+    return rows.join(declined, ["id", "pair_no", "text_key"], "left").select(F.col("id").alias(id_col), "pair_no", defect.alias("defect"))

@@ -1,12 +1,11 @@
 """Defects of question-answer pairs: empty, copied, refusal, wrong language, truncated.
 
-Refusals are found by the templates of their openings. The first-person clauses that open answers, whatever
-the answer's length, are reduced to distinct texts and clustered by MinHash with exact verification (word
-pairs, likeness 0.6). A cluster, a clause and those alike to it, is a template if it opens the answers of
-several unrelated prompts or if it holds one of the seed templates; a template that declines in the
-first person is a refusal template. An answer is a refusal if such a template is among its opening clauses
-and little of it lies outside templates: outside the clusters and outside clauses that recur in other
-answers of that kind. Copies, languages and endings are checked pair by pair.
+Refusals are found by the templates of their openings. The opening clauses that say no in the first person,
+whatever the answer's length, are reduced to distinct texts and clustered by MinHash with exact
+verification (word pairs, likeness 0.6). A cluster, a clause and those alike to it, is a refusal template if
+it opens the answers of several unrelated prompts or if it holds one of the seed templates. An answer is a
+refusal if such a template is among its opening clauses and little of it lies outside templates: outside
+the clusters and outside clauses that recur in other answers of that kind. Copies, languages and endings are checked pair by pair.
 """
 
 from __future__ import annotations
@@ -85,9 +84,13 @@ def is_empty(answer: str | None) -> bool:
 
 def is_copy(question: str, answer: str) -> bool:
     """The answer's words are the question's, give or take a few, perhaps more than once over."""
-    q, a = (Counter(w.lower() for w in WORD.findall(x)) for x in (question, answer))
-    nq, na = sum(q.values()), sum(a.values())
-    if nq < 3 or na < 3:
+    q = Counter(WORD.findall(question.lower()))
+    nq = sum(q.values())
+    if nq < 3 or 0.5 * len(answer.split()) > 3.5 * nq:
+        return False
+    a = Counter(WORD.findall(answer.lower()))
+    na = sum(a.values())
+    if na < 3:
         return False
     times = max(1, round(na / nq))
     shared = sum(min(a[w], q[w] * times) for w in a)
@@ -146,9 +149,9 @@ def languages_of(texts: list[str], model: LanguageModel, min_words: int = 4) ->
     return [model.langs[top[i]] if sure[i] else None for i in range(b.n)]
 
 
-def clauses_of(answer: str) -> list[str]:
-    """All clauses of an answer, lower case, without words that only lead over."""
-    parts = (" ".join(x.split()) for x in CLAUSE.split(answer.strip().lower().replace("‘", "'").replace("’", "'")))
+def clauses_of(answer: str, at_least: int = 0) -> list[str]:
+    """All clauses of an answer, lower case, without words that only lead over; the last may be longer if only the first are asked for."""
+    parts = (" ".join(x.split()) for x in CLAUSE.split(answer.strip().lower().replace("‘", "'").replace("’", "'"), at_least))
     return [LEAD.sub("", x) for x in parts if x]
 
 
@@ -157,19 +160,25 @@ def clause_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "big", signed=True)
 
 
-def opens_personally(clauses: list[str]) -> list[str]:
-    """Opening clauses of three words or more in the first person."""
-    return [c for c in clauses[:OPENING_CLAUSES] if c.count(" ") >= 2 and FIRST_PERSON.search(c)]
+def says_no(clause: str) -> bool:
+    """Three words or more that deny something in the first person."""
+    return clause.count(" ") >= 2 and DECLINE.search(clause) is not None and FIRST_PERSON.search(clause) is not None and DOUBLE.search(clause) is None
+
+
+def declining(answer: str) -> list[str]:
+    """Opening clauses that say no."""
+    first = clauses_of(answer, OPENING_CLAUSES + 1)
+    return [c for c in first[:OPENING_CLAUSES] if says_no(c)]
 
 
 CHECKED = "pair_no int, text_key bigint, prompt bigint, is_empty boolean, copied boolean, wrong_language boolean, truncated boolean, opening array<string>, clauses array<string>"
 
 
 def pair_checks(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """id, pair_no, keys of the pair's texts and of its prompt, the checks, and the clauses of answers that open in the first person.
+    """id, pair_no, keys of the pair's texts and of its prompt, the checks, and the clauses of answers whose opening says no.
 
-    ``opening`` has their opening clauses in the first person, ``clauses`` all clauses; both are null for other
-    answers, and for empty or copied ones.
+    ``opening`` has their opening clauses that do, ``clauses`` all clauses; both are null for other answers, and for
+    empty or copied ones.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
@@ -187,10 +196,9 @@ def pair_checks(rows: DataFrame, model: LanguageModel) -> DataFrame:
                 foreign, opening, clauses, keys, prompts = [], [], [], [], []
                 for ql, al, e, c, (q, a) in zip(q_lang, a_lang, none, copied, part):
                     foreign.append(ql is not None and al is not None and ql != al and not (al in ASKED and ASKED[al].search(q or "")))
-                    own = clauses_of(a) if not e and not c else []
-                    first = opens_personally(own)
+                    first = declining(a) if not e and not c else []
                     opening.append(first or None)
-                    clauses.append(own if first else None)
+                    clauses.append(clauses_of(a) if first else None)
                     prompt = " ".join((q or "").lower().split())
                     prompts.append(clause_key(prompt))
                     keys.append(clause_key(f"{q}\x00{a}"))
@@ -205,10 +213,10 @@ def pair_checks(rows: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def templates(opening: DataFrame, min_prompts: int = 3) -> DataFrame:
-    """clause, recurs, declines: opening clauses in clusters that recur across prompts or hold a seed.
+    """clause: the refusal templates among opening clauses that say no (columns clause, prompt).
 
-    opening: clause, prompt. ``declines`` marks refusal templates; a clause that says no itself and is alike to
-    a refusal template is one too.
+    A clause is one if its cluster, it and the clauses alike to it, opens the answers of ``min_prompts`` prompts or
+    holds a seed, and if a clause alike to it is one by that.
     """
     spark = opening.sparkSession
     seeds = spark.createDataFrame([(s,) for s in SEEDS], "clause string").select("clause", F.lit(None).cast("bigint").alias("prompt"), F.lit(True).alias("seed"))
@@ -216,25 +224,15 @@ def templates(opening: DataFrame, min_prompts: int = 3) -> DataFrame:
     texts = every.groupBy("clause").agg(F.countDistinct("prompt").alias("prompts"), F.max("seed").alias("seed"))
     texts = checkpointed(texts.select("clause", "prompts", "seed", F.regexp_replace("clause", "[^a-z0-9à-ÿ ]", "").alias("body"), F.lit(None).cast("string").alias("none")))
     members, links = near_duplicate_links(texts, "clause", "none", "body", k=2, threshold=0.6)
-    says_no = F.col("clause").rlike(FIRST_PERSON.pattern) & F.col("clause").rlike(DECLINE.pattern) & ~F.col("clause").rlike(DOUBLE.pattern)
-    facts = members.select(F.col("id").alias("clause"), "node").join(texts.select("clause", "prompts", "seed"), "clause").withColumn("says_no", says_no)
+    facts = members.select(F.col("id").alias("clause"), "node").join(texts.select("clause", "prompts", "seed"), "clause")
     # clauses of equal words are one node; a node's cluster is it and the nodes linked to it
-    nodes = checkpointed(facts.groupBy("node").agg(F.sum("prompts").alias("prompts"), F.max("seed").alias("seed"), F.max("says_no").alias("says_no")))
+    nodes = checkpointed(facts.groupBy("node").agg(F.sum("prompts").alias("prompts"), F.max("seed").alias("seed")))
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-
-    def around(column: str, agg) -> DataFrame:
-        """``agg`` of a column over the nodes linked to each node."""
-        return both.join(nodes.select(F.col("node").alias("b"), column), "b").groupBy(F.col("a").alias("node")).agg(agg(column).alias("near"))
-
-    near = around("prompts", F.sum).withColumnRenamed("near", "near_prompts").join(around("seed", F.max).withColumnRenamed("near", "near_seed"), "node")
+    around = both.join(nodes.select(F.col("node").alias("b"), "prompts", "seed"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("prompts").alias("near_prompts"), F.max("seed").alias("near_seed"))
     n = F.col("prompts") + F.coalesce("near_prompts", F.lit(0))
-    first = nodes.join(near, "node", "left").select(
-        "node", "says_no", (n >= min_prompts).alias("recurs"), (F.col("seed") | F.coalesce("near_seed", F.lit(False)) | ((n >= min_prompts) & F.col("says_no"))).alias("declines")
-    )
-    nodes = first = checkpointed(first)
-    near = around("declines", F.max)
-    final = first.join(near, "node", "left").select("node", "recurs", (F.col("declines") | (F.col("says_no") & F.coalesce("near", F.lit(False)))).alias("declines"))
-    return facts.select("clause", "node").join(final.where("recurs or declines"), "node").select("clause", "recurs", "declines")
+    first = checkpointed(nodes.join(around, "node", "left").where((n >= min_prompts) | F.col("seed") | F.coalesce("near_seed", F.lit(False))).select("node"))
+    second = both.join(first.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"))
+    return facts.select("clause", "node").join(first.unionByName(second).distinct(), "node", "left_semi").select("clause")
 
 
 def refusals(checks: DataFrame, min_prompts: int = 3) -> DataFrame:
@@ -242,12 +240,12 @@ def refusals(checks: DataFrame, min_prompts: int = 3) -> DataFrame:
     spoken = checks.where("opening is not null")
     known = checkpointed(templates(spoken.select(F.explode("opening").alias("clause"), "prompt"), min_prompts))
     few = (lambda df: F.broadcast(df)) if known.count() <= FEW else (lambda df: df)
-    hit = spoken.select("id", "pair_no", "text_key", F.explode("opening").alias("clause")).join(few(known.where("declines").select("clause")), "clause", "left_semi")
+    hit = spoken.select("id", "pair_no", "text_key", F.explode("opening").alias("clause")).join(few(known), "clause", "left_semi")
     able = hit.select("id", "pair_no", "text_key").distinct()
     each = spoken.join(able, ["id", "pair_no", "text_key"], "left_semi").dropDuplicates(["id", "pair_no", "text_key"])
     each = checkpointed(each.select("id", "pair_no", "text_key", "prompt", F.posexplode("clauses").alias("clause_no", "clause")).withColumn("n_words", F.size(F.split("clause", " "))))
     # a clause outside the opening, as a closing formula, counts as a template where it recurs in answers that open with one
-    again = each.groupBy("clause").agg(F.countDistinct("prompt").alias("n")).where(f"n >= {min_prompts}").select("clause").unionByName(known.select("clause")).distinct()
+    again = each.groupBy("clause").agg(F.countDistinct("prompt").alias("n")).where(f"n >= {min_prompts}").select("clause").unionByName(known).distinct()
     marked = each.join(again.withColumn("formula", F.lit(True)), "clause", "left")
     spare = F.sum(F.when(F.col("formula"), 0).otherwise(F.col("n_words")))
     out = marked.groupBy("id", "pair_no", "text_key").agg(spare.alias("spare"), F.sum("n_words").alias("words"))

@@ -195,6 +195,23 @@ def test_edit_moves_only_near_cuts():
     assert len(far & b) >= 0.7 * len(far)
 
 
+def test_forced_cuts_find_every_stretch():
+    """Against a scan of all gaps between boundaries."""
+    rnd = random.Random(12)
+    for _ in range(400):
+        text = "".join(rnd.choice(["word ", "w" * rnd.randint(1, 40), " ", "end. ", "\n \n", "\r\n", "a.b", "?” "] if rnd.random() < 0.2 else ["word ", "some", " "]) for _ in range(rnd.randint(1, 260)))
+        found = chunking.boundaries(text)
+        limit = rnd.choice([60, 100, 200])
+        want, at = [], 0
+        for end in [*(p for p, _ in found), len(text)]:
+            body = len(text[at:end].strip())
+            if body > limit:
+                first = at + len(text[at:end]) - len(text[at:end].lstrip())
+                want.append((first, first + body))
+            at = end
+        assert chunking.unbroken(text, found, chunking.cuts(text, limit, rnd.choice([0, 5, 14]), found), limit) == want
+
+
 def test_crlf_is_no_blank_line():
     assert chunking.boundaries("a\r\nb") == [] and [k for _, k in chunking.boundaries("a\r\n \t\r\nb")] == ["paragraph"]
 

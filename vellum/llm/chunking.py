@@ -43,18 +43,25 @@ def boundaries(text: str) -> list[tuple[int, str]]:
     return [(m.end() if m.lastgroup == "stop" else m.start(), "sentence" if m.lastgroup == "stop" else "paragraph") for m in BOUNDARY.finditer(text)]
 
 
-def unbroken(text: str, found: list[tuple[int, str]], limit: int) -> list[tuple[int, int]]:
-    """(first, past last) visible character of each stretch of more than ``limit`` characters without a boundary inside."""
+def unbroken(text: str, found: list[tuple[int, str]], made: list[tuple[int, str]], limit: int) -> list[tuple[int, int]]:
+    """(first, past last) visible character of each stretch of more than ``limit`` characters without a boundary inside.
+
+    Pieces are no longer than the limit, so such a stretch shows as a cut inside it that is no boundary: each
+    forced cut is widened to the boundaries on either side of it and measured.
+    """
+    where = [p for p, _ in found]
     out = []
-    at = 0
-    for end in [*(p for p, _ in found), len(text)]:
-        if end - at > limit:
-            part = text[at:end]
+    done = 0
+    for cut, kind in made:
+        if kind not in ("word", "hard") or cut < done:
+            continue
+        i = bisect_right(where, cut)
+        at, done = where[i - 1] if i else 0, where[i] if i < len(where) else len(text)
+        part = text[at:done]
+        body = len(part.strip())
+        if body > limit:
             lead = len(part) - len(part.lstrip())
-            body = len(part.strip())
-            if body > limit:
-                out.append((at + lead, at + lead + body))
-        at = end
+            out.append((at + lead, at + lead + body))
     return out
 
 
@@ -110,14 +117,15 @@ def chunked(df: DataFrame, id_col: str, max_size: int, overlap: int = 0, text_co
                 sizes, pieces, long = [], [], []
                 for (text,) in part:
                     found = boundaries(text)
+                    made = cuts(text, max_size, overlap, found)
                     rows, begin = [], 0
-                    for i, (cut, how) in enumerate(cuts(text, max_size, overlap, found)):
+                    for i, (cut, how) in enumerate(made):
                         start = max(0, begin - overlap) if i else 0
                         rows.append({"piece_no": i, "start_char": start, "new_from": begin, "end_char": cut, "cut": how, "text": text[start:cut]})
                         begin = cut
                     sizes.append(len(text))
                     pieces.append(rows)
-                    long.append([{"start_char": a, "end_char": z} for a, z in unbroken(text, found, max_size)])
+                    long.append([{"start_char": a, "end_char": z} for a, z in unbroken(text, found, made, max_size)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(part)), pa.array(sizes, pa.int64()), pa.array(pieces, piece_t), pa.array(long, stretch_t)], names=["id", "n_chars", "pieces", "stretches"]
                 )

@@ -441,9 +441,29 @@ def test_at_most_two_large_items_a_row():
 def test_schedule_stays_within_a_block():
     from fractions import Fraction
 
-    shares = [mixing.Share("a", Fraction(1, 2), 100, 500, 9), mixing.Share("b", Fraction(3, 10), 100, 300, 9), mixing.Share("c", Fraction(1, 5), 100, 200, 9)]
-    slots, worst = mixing.schedule(shares, 10)
-    assert len(slots) == 100 and max(worst.values()) < 1 and sorted(s for _, _, s in slots) == list(range(100))
+    rnd = random.Random(13)
+    for k in range(60):
+        parts = [rnd.randint(1, 40) for _ in range(rnd.randint(1, 9))]
+        weights = {f"s{i}": Fraction(n, sum(parts)) for i, n in enumerate(parts)}
+        counts = mixing.counts_of(weights, 1000)
+        slots, worst = mixing.schedule(counts)
+        period = sum(counts.values())
+        assert {s: Fraction(n, period) for s, n in counts.items()} == weights and sorted(x[2] for x in slots) == list(range(period))
+        assert max(worst.values()) < 1
+        done = dict.fromkeys(weights, 0)
+        for s, turn, slot in sorted(slots, key=lambda x: x[2]):
+            assert turn == done[s]
+            done[s] += 1
+            assert all(abs(done[x] - weights[x] * (slot + 1)) <= worst[x] for x in weights)
+
+
+def test_schedule_of_awkward_weights():
+    from fractions import Fraction
+
+    weights = {"a": Fraction(333331, 1000003), "b": Fraction(1, 1000003), "c": Fraction(666671, 1000003)}
+    counts = mixing.counts_of(weights, 5000)
+    assert sum(counts.values()) in (5000, 5001) and all(abs(Fraction(n, sum(counts.values())) - weights[s]) < Fraction(1, 4000) for s, n in counts.items())
+    assert mixing.counts_of({}, 10) == {} and mixing.schedule({}) == ([], {})
 
 
 def test_mixture_reaches_shares(spark):
@@ -455,6 +475,13 @@ def test_mixture_reaches_shares(spark):
     assert abs(got["a"]["actual_share"] - 0.5) < 0.01 and abs(got["b"]["actual_share"] - 0.4) < 0.01 and abs(got["c"]["actual_share"] - 0.1) < 0.01
     assert got["gone"]["mixed_docs"] == 0 and got["c"]["passes"] == 4 and max(r["worst_blocks"] for r in got.values()) < 1
     assert rows.groupBy("doc_id", "source", "repeat_no").count().where("count > 1").count() == 0
+    # at every slot, each source's tokens are within a block and a document of its share
+    by = sorted(rows.collect(), key=lambda r: (r["slot"], r["source_offset"]))
+    run = dict.fromkeys("abc", 0)
+    for i, r in enumerate(by):
+        run[r["source"]] += r["n_tokens"]
+        if i + 1 == len(by) or by[i + 1]["slot"] != r["slot"]:
+            assert all(abs(run[s] - w * 50 * (r["slot"] + 1)) <= 60 for s, w in (("a", 0.5), ("b", 0.4), ("c", 0.1)))
     empty, report = mixing.mixture(df.where("false"), goal)
     assert empty.count() == 0 and report.count() == 4
 

@@ -4,14 +4,16 @@ The mixture is as large as the sources allow: each may be repeated up to its cap
 one, measured against its target, sets the total. Every source's stream (documents in hashed order,
 then again for each repeat) is cut into blocks of equal token size. Block j of a source of weight w
 is released at floor((j - 1) / w) and due at ceil(j / w); earliest deadline first then keeps every
-source within one block of its share at all times. The block size grows with the mixture so that a
-schedule has at most ``max_blocks`` slots: a bounded driver-side table. Positions inside a source
-are prefix sums taken in two levels, so that no source is gathered in one task.
+source within one block of its share at all times. Weights are fractions, so the schedule repeats after
+their common denominator: one period is planned, at most ``max_period`` slots whatever the data's size, and a
+block's slot follows from its number. Positions inside a source are prefix sums taken in two levels,
+so that no source is gathered in one task.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -40,34 +42,43 @@ def sizes(tokens: dict[str, int], targets: list[tuple[str, float, int]]) -> list
     return [Share(s, t / whole, tokens[s], int(total * t / whole), r) for s, t, r in sorted(able)]
 
 
-def schedule(shares: list[Share], block: int) -> tuple[list[tuple[str, int, int]], dict[str, Fraction]]:
-    """(source, block number from 0, slot) by earliest deadline first; greatest deviation of each source in blocks."""
-    n = {s.source: -(-s.limit // block) for s in shares}
-    weight = {s.source: s.weight for s in shares}
+def counts_of(weights: dict[str, Fraction], max_period: int) -> dict[str, int]:
+    """Blocks of each source in one period: exact for a common denominator of up to ``max_period``.
+
+    Beyond it the period has ``max_period`` slots, dealt by largest remainder, so that a share is off by less than
+    1 / max_period.
+    """
+    period = math.lcm(*(w.denominator for w in weights.values())) if weights else 0
+    if period <= max_period:
+        return {s: int(w * period) for s, w in weights.items()}
+    got = {s: max(1, int(w * max_period)) for s, w in weights.items()}
+    for s in sorted(weights, key=lambda s: (got[s] - weights[s] * max_period, s))[: max(0, max_period - sum(got.values()))]:
+        got[s] += 1
+    return got
+
+
+def schedule(counts: dict[str, int]) -> tuple[list[tuple[str, int, int]], dict[str, Fraction]]:
+    """(source, block number in the period from 0, slot) by earliest deadline first; greatest deviation of each source in blocks."""
+    period = sum(counts.values())
     ready: list[tuple[int, str, int]] = []
-    coming: list[tuple[int, str, int]] = [(0, s, 1) for s in sorted(n) if n[s]]
+    coming: list[tuple[int, str, int]] = [(0, s, 1) for s in sorted(counts) if counts[s]]
     heapq.heapify(coming)
     out: list[tuple[str, int, int]] = []
-    done = dict.fromkeys(n, 0)
-    worst = dict.fromkeys(n, Fraction(0))
-    slot = 0
-    while ready or coming:
+    # deviations in units of 1 / period of a block
+    owed, worst = dict.fromkeys(counts, 0), dict.fromkeys(counts, 0)
+    for slot in range(period):
         while coming and coming[0][0] <= slot:
             _, s, j = heapq.heappop(coming)
-            w = weight[s]
-            heapq.heappush(ready, (-(-j * w.denominator // w.numerator), s, j))
-        if ready:
-            _, s, j = heapq.heappop(ready)
-            out.append((s, j - 1, slot))
-            done[s] += 1
-            if j < n[s]:
-                w = weight[s]
-                heapq.heappush(coming, (j * w.denominator // w.numerator, s, j + 1))
-        slot += 1
-        for s, w in weight.items():
-            if done[s] < n[s]:
-                worst[s] = max(worst[s], abs(done[s] - w * slot))
-    return out, worst
+            heapq.heappush(ready, (-(-j * period // counts[s]), s, j))
+        _, s, j = heapq.heappop(ready)
+        out.append((s, j - 1, slot))
+        if j < counts[s]:
+            heapq.heappush(coming, (j * period // counts[s], s, j + 1))
+        owed[s] -= period
+        for x, n in counts.items():
+            owed[x] += n
+            worst[x] = max(worst[x], abs(owed[x]))
+    return out, {s: Fraction(n, period) for s, n in worst.items()}
 
 
 def key_of(column: str) -> F.Column:
@@ -100,7 +111,7 @@ def _plan(counts: DataFrame, targets: DataFrame, id_col: str, source_col: str, p
 
 
 def mixture(
-    counts: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", block_tokens: int = 4096, max_blocks: int = 20_000,
+    counts: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", block_tokens: int = 4096, max_period: int = 100_000,
     part_docs: int = 20_000, seed: int = 1, max_targets: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows: id, source, repeat_no, slot, source_offset, n_tokens; report by target source).
@@ -111,22 +122,25 @@ def mixture(
     """
     spark = counts.sparkSession
     goal, ranked, tokens, shares = _plan(counts, targets, id_col, source_col, part_docs, seed, max_targets)
-    total = sum(s.limit for s in shares)
-    block = max(block_tokens, -(-total // max_blocks))
-    slots, worst = schedule(shares, block)
-    plan = spark.createDataFrame([(s.source, s.tokens, s.limit, -(-s.limit // s.tokens)) for s in shares], "source string, pass_tokens bigint, limit_tokens bigint, passes int")
-    turn = spark.createDataFrame(slots, "source string, block bigint, slot bigint")
+    counts_in = counts_of({s.source: s.weight for s in shares}, max_period)
+    slots, worst = schedule(counts_in)
+    plan = spark.createDataFrame(
+        [(s.source, s.tokens, s.limit, -(-s.limit // s.tokens), counts_in[s.source]) for s in shares], "source string, pass_tokens bigint, limit_tokens bigint, passes int, in_period bigint"
+    )
+    turn = spark.createDataFrame(slots, "source string, turn bigint, place bigint")
     streams = (
         ranked.join(F.broadcast(plan), "source")
         .withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
         .withColumn("source_offset", F.col("repeat_no") * F.col("pass_tokens") + F.col("offset"))
         .where("source_offset < limit_tokens")
-        .withColumn("block", F.floor(F.col("source_offset") / F.lit(block)).cast("bigint"))
+        .withColumn("block", F.expr(f"source_offset div {block_tokens}"))
+        .withColumn("turn", F.pmod("block", "in_period"))
     )
-    rows = streams.join(F.broadcast(turn), ["source", "block"]).select(id_col, "source", F.col("repeat_no").cast("int").alias("repeat_no"), "slot", "source_offset", "n_tokens")
+    slot = F.expr(f"block div in_period * {sum(counts_in.values())}") + F.col("place")
+    rows = streams.join(F.broadcast(turn), ["source", "turn"]).select(id_col, "source", F.col("repeat_no").cast("int").alias("repeat_no"), slot.alias("slot"), "source_offset", "n_tokens")
     by = {s.source: s for s in shares}
     facts = [
-        (s, float(t) if t is not None else None, r, tokens.get(s, 0), -(-by[s].limit // by[s].tokens) if s in by else 0, float(worst.get(s, 0)), block)
+        (s, float(t) if t is not None else None, r, tokens.get(s, 0), -(-by[s].limit // by[s].tokens) if s in by else 0, float(worst.get(s, 0)), block_tokens)
         for s, t, r in goal
     ]
     facts_df = spark.createDataFrame(facts, "source string, target_share double, max_repeats int, source_tokens bigint, passes int, worst_blocks double, block_tokens bigint")

@@ -146,9 +146,35 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d)
 
 
+#: Distinct three-word runs of the records that are compared, and their numbers; repeated deliveries count once.
+_RUNS = """w as (select distinct doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || text), '[a-z0-9]+') as w from raw_documents where doc_id is not null and length(text) >= 200),
+c as (select doc_id, md5(array_to_string(w, ' ')) as class from w),
+s as (select distinct class, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select any_value(w) as w, class, unnest(range(1, len(any_value(w)) - 1)) as i from w join c using (doc_id) group by class)),
+n as (select class, count(*) as n from s group by 1),
+l as (select a.class as x, b.class as y from s a join s b on a.g = b.g and a.class < b.class join n na on na.class = a.class join n nb on nb.class = b.class group by a.class, b.class, na.n, nb.n having count(*) >= 0.5 * (na.n + nb.n - count(*)))"""
+
+_WHITE = r"[\s\x{2}\x{b}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A mark (code point 1) is set at every boundary; code point 2 stands for the first half of a two-character line end.
+_MARKED = f"""regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(2) || chr(10)), '([.!?]["''”’“»›)\\]}}]*)({_WHITE})', '\\1' || chr(1) || '\\2', 'g'),
+'((?:\\x{{2}}?\\n|\\r)[ \\t]*(?:\\x{{2}}?\\n|\\r))', chr(1) || '\\1', 'g')"""
+
+SQL = {
+    "p1_found": f"with {_RUNS} select distinct least(p.doc_id, q.doc_id) as doc_id_a, greatest(p.doc_id, q.doc_id) as doc_id_b from (select x, y from l union all select class, class from n) e join c p on p.class = e.x join c q on q.class = e.y where p.doc_id <> q.doc_id",
+    "p1_groups": f"""with recursive {_RUNS}, e as (select x, y from l union select y, x from l),
+r as (select class as a, class as b from (select distinct class from c) union select r.a, e.y from r join e on r.b = e.x),
+g as (select r.a as class, min(m.doc_id) as group_id, count(distinct m.doc_id) as group_size from r join c m on m.class = r.b group by 1)
+select c.doc_id, min(group_id) as group_id, max(group_size) as group_size, max((select count(*) from e where e.x = c.class)) as n_links from c join g using (class) group by c.doc_id""",
+    "p3_found": f"""with m as (select book_filename, string_split({_MARKED}, chr(1)) as parts from physics_books where text is not null),
+u as (select book_filename, unnest(parts) as part, generate_subscripts(parts, 1) as i from m),
+o as (select book_filename, part, coalesce(sum(length(part)) over (partition by book_filename order by i rows between unbounded preceding and 1 preceding), 0) as pos from u)
+select distinct book_filename, cast(pos + length(part) - length(regexp_replace(part, '^{_WHITE}+', '')) as bigint) as start_char from o
+where length(regexp_replace(regexp_replace(part, '^{_WHITE}+', ''), '{_WHITE}+$', '')) > (select max_size from size_limits where limit_name = 'physics_chunk')""",
+}
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -43,27 +44,50 @@ def missing(df: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
 def search(df: DataFrame, specs: DataFrame, title: Column, text: Column, prefix: int = 3000, max_specs: int = 10_000) -> DataFrame:
     """Rows x specs where a title word is in the title, or a title and an author word are in the text's beginning.
 
-    ``specs`` (spec_id, title_words, author_words) is a stated query set; every row meets every spec,
-    as an array that travels with the plan, so rows are read once and never multiplied before the test.
+    ``specs`` (spec_id, title_words, author_words) is a stated query set of bounded size. All its words are one
+    Aho-Corasick automaton, so a row is read once whatever the number of specs and only the specs of words that
+    occur are looked at.
     """
     rows = specs.select("spec_id", "title_words", "author_words").orderBy("spec_id").limit(max_specs + 1).collect()
     if len(rows) > max_specs:
         raise ValueError(f"more than {max_specs} specs")
-    low_title, head = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.substring(F.coalesce(text, F.lit("")), 1, prefix))
+    plan = [(r[0], frozenset(w.lower() for w in r[1] or []), frozenset(w.lower() for w in r[2] or [])) for r in rows]
+    shared = df.sparkSession.sparkContext.broadcast(plan)
+
+    @F.pandas_udf(f"array<struct<spec_id:{specs.schema['spec_id'].dataType.simpleString()}, how:string>>")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        specs_of: dict[str, set[int]] = {}
+        machine = ahocorasick.Automaton()
+        for n, (_, titles, authors) in enumerate(shared.value):
+            for w in titles | authors:
+                specs_of.setdefault(w, set()).add(n)
+        for w in specs_of:
+            if w:
+                machine.add_word(w, w)
+        machine.make_automaton()
+        empty = {n for n in specs_of.get("", ())}
+
+        def words(text: str) -> set[str]:
+            return {w for _, w in machine.iter(text)} | ({""} if empty else set()) if len(machine) else set()
+
+        for heads, bodies in batches:
+            out = []
+            for t, x in zip(heads, bodies):
+                in_title, in_text = words(t), words(x)
+                hits = []
+                for n in sorted({n for w in in_title | in_text for n in specs_of[w]}):
+                    spec, titles, authors = shared.value[n]
+                    if titles & in_title:
+                        hits.append((spec, "title"))
+                    elif titles & in_text and authors & in_text:
+                        hits.append((spec, "text"))
+                out.append([{"spec_id": a, "how": b} for a, b in hits])
+            yield pd.Series(out)
 
-    def any_word(where: Column, words: list[str]) -> Column:
-        out = F.lit(False)
-        for w in words or []:
-            out = out | F.contains(where, F.lit(w.lower()))
-        return out
-
-    hits = [
-        F.when(any_word(low_title, r[1]), F.struct(F.lit(r[0]).alias("spec_id"), F.lit("title").alias("how"))).when(
-            any_word(head, r[1]) & any_word(head, r[2]), F.struct(F.lit(r[0]).alias("spec_id"), F.lit("text").alias("how"))
-        )
-        for r in rows
-    ]
-    return df.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))).select("*", "hit.*").drop("hit")
+    low_title, head = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.substring(F.coalesce(text, F.lit("")), 1, prefix))
+    return df.withColumn("hit", F.explode(found(low_title, head))).select("*", "hit.*").drop("hit")
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: list, right_order: list) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.runtime import with_index
+from ..functions.runtime import with_index, with_rank
 
 
 def chance(key: Column, seed: int = 0) -> Column:
@@ -19,13 +19,12 @@ def bernoulli_split(df: DataFrame, key: Column, share: float, seed: int = 0) ->
 
 def share_split(df: DataFrame, key: Column, share: float, by: list[str] | None = None, small_group: int = 0) -> DataFrame:
     """The first max(1, floor(n * share)) rows in hashed order are validation, per group if given; groups of at most ``small_group`` all train."""
-    h = F.md5(key.cast("string"))
+    keyed = df.withColumn("__h", F.md5(key.cast("string"))).withColumn("__k", key)
     if by is None:
-        ranked = with_index(df.withColumn("__h", h), "__h", key, name="__i")
+        ranked = with_index(keyed, "__h", "__k", name="__i")
         n = ranked.count()
-        return ranked.withColumn("split", F.when(F.col("__i") < max(1, int(n * share)), "val").otherwise("train")).drop("__h", "__i")
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__i", F.row_number().over(w.orderBy(h, key)) - 1).withColumn("__n", F.count("*").over(w))
+        return ranked.withColumn("split", F.when(F.col("__i") < max(1, int(n * share)), "val").otherwise("train")).drop("__h", "__k", "__i")
+    ranked = with_rank(keyed, by, ["__h", "__k"], "__i", "__n").drop("__h", "__k")
     val = (F.col("__n") > small_group) & (F.col("__i") < F.greatest(F.lit(1), F.floor(F.col("__n") * share)))
     return ranked.withColumn("split", F.when(val, "val").otherwise("train")).drop("__i", "__n")
 
@@ -37,7 +36,10 @@ def group_split(df: DataFrame, group: str, share: float) -> DataFrame:
 
 
 def per_group(df: DataFrame, by: list[str], key: Column, n: int) -> DataFrame:
-    """At most n rows of each group, the first in hashed order."""
+    """At most n rows of each group, the first in hashed order.
+
+    The limit on the row number makes every task keep its own first n of a group before the shuffle.
+    """
     return df.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(key.cast("string")), key))).where(F.col("__i") <= n).drop("__i")
 
 
@@ -50,8 +52,8 @@ def thinned(df: DataFrame, cls: Column, key: Column, shares: dict[str, float]) -
 
 
 def balanced_shards(df: DataFrame, size: Column, key: str, n_shards: int) -> DataFrame:
-    """Rows dealt round over shards in order of size, so shards have like totals."""
-    sized = with_index(df.withColumn("__s", size), "__s", key, name="__i")
+    """Rows dealt round over shards in order of size, so shards have like totals; ``key`` is unique and alone sorted with the size."""
+    sized = with_index(df.withColumn("__s", size), "__s", key, name="__i", key=key)
     return sized.withColumn("shard", F.pmod("__i", F.lit(n_shards)).cast("int")).drop("__s", "__i")
 
 

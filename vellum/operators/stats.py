@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.runtime import values_at, with_rank
+from .joins import small
+
 
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0)
@@ -22,16 +25,20 @@ def priors(tokens: DataFrame) -> DataFrame:
 
 
 def document_scores(df: DataFrame, id_cols: list[str], text: Column, table: DataFrame) -> DataFrame:
-    """Mean and population deviation of the tokens' priors and their number; 0, 0, 0 without tokens.
+    """Mean and population deviation of the tokens' priors and their number, a row a document; 0, 0, 0 without tokens.
 
-    Document and token are counted together first, so a frequent token travels once a document.
+    Document and token are counted together first, so a frequent token travels once a document. The token table is
+    the inner side of a left join, so it alone can be broadcast, and only below the bound of ``joins.small``; else the
+    counts are shuffled by token and a token that many documents share is split at run time.
     """
-    counts = exploded(df, id_cols, text).groupBy(*id_cols, "token").agg(F.count("*").alias("k"))
-    joined = counts.join(table.select("token", "log2_prior"), "token")
-    sums = joined.groupBy(*id_cols).agg(F.sum("k").alias("n_tokens"), F.sum(F.col("k") * F.col("log2_prior")).alias("s"), F.sum(F.col("k") * F.col("log2_prior") ** 2).alias("q"))
+    counts = df.select(*id_cols, F.explode_outer(words(text)).alias("token")).groupBy(*id_cols, "token").agg(F.count("*").alias("k"))
+    joined = counts.join(small(table.select("token", "log2_prior")), "token", "left").where("token is null or log2_prior is not null")
+    k = F.when(F.col("token").isNotNull(), F.col("k")).otherwise(0)
+    sums = joined.groupBy(*id_cols).agg(F.sum(k).alias("n_tokens"), F.sum(k * F.col("log2_prior")).alias("s"), F.sum(k * F.col("log2_prior") ** 2).alias("q"))
     mean = F.col("s") / F.col("n_tokens")
-    scored = sums.select(*id_cols, "n_tokens", mean.alias("mean_prior"), F.sqrt(F.greatest(F.col("q") / F.col("n_tokens") - mean * mean, F.lit(0.0))).alias("std_prior"))
-    return df.select(*id_cols).join(scored, id_cols, "left").fillna(0, ["n_tokens", "mean_prior", "std_prior"])
+    std = F.sqrt(F.greatest(F.col("q") / F.col("n_tokens") - mean * mean, F.lit(0.0)))
+    some = F.col("n_tokens") > 0
+    return sums.select(*id_cols, "n_tokens", F.when(some, mean).otherwise(0.0).alias("mean_prior"), F.when(some, std).otherwise(0.0).alias("std_prior"))
 
 
 def prior_verdict(mean: Column, n: Column, low: float = -11.36, high: float = -9.91) -> Column:
@@ -39,9 +46,23 @@ def prior_verdict(mean: Column, n: Column, low: float = -11.36, high: float = -9
 
 
 def summary(df: DataFrame, c: Column, points: list[float]) -> DataFrame:
-    """Count, mean, population deviation, extremes and linear percentiles."""
+    """Count, mean, population deviation, extremes and linear percentiles; null percentiles without values.
+
+    The percentiles are read off a distributed sort at the few ranks they need, not gathered in one aggregate.
+    """
     v = df.select(c.cast("double").alias("v")).where("v is not null")
-    return v.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), *[F.percentile("v", p).alias(f"p{round(p * 100)}") for p in points])
+    base = v.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    n = v.count()
+    at = {p: p * (n - 1) for p in points}
+    values = values_at(v, "v", [r for x in at.values() for r in (int(x), min(int(x) + 1, n - 1))]) if n else {}
+
+    def linear(p: float) -> float | None:
+        if not n:
+            return None
+        lo, hi = values[int(at[p])], values[min(int(at[p]) + 1, n - 1)]
+        return lo + (hi - lo) * (at[p] - int(at[p]))
+
+    return base.select("*", *[F.lit(linear(p)).cast("double").alias(f"p{round(p * 100)}") for p in points])
 
 
 def histogram(df: DataFrame, c: Column, bins: int = 30) -> DataFrame:
@@ -53,9 +74,8 @@ def histogram(df: DataFrame, c: Column, bins: int = 30) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: list[str], c: str, points: list[int]) -> DataFrame:
-    """Per group sorted[min(floor(n * p / 100), n - 1)]."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(c).isNotNull()).select(*by, F.col(c).alias("v"), (F.row_number().over(w.orderBy(c)) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    """Per group sorted[min(floor(n * p / 100), n - 1)]; groups may be few and large, none is gathered in one task."""
+    ranked = with_rank(df.where(F.col(c).isNotNull()).select(*by, F.col(c).alias("v")), by, ["v"], "r", "n")
     return ranked.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("v"))).alias(f"p{p}") for p in points])
 
 

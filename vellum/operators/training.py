@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import math
 import operator
+import os
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 
 from . import clean
 
+#: Path of a public vocabulary file: a parameter, by environment or argument; on a cluster also a file shipped with the job.
+RANKS = os.environ.get("VELLUM_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: split pattern with numbers in groups of one or two digits.
 SPLIT = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 
@@ -164,12 +167,21 @@ def equivalent(a: Column, b: Column) -> Column:
 SPECIAL = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>")
 
 
+def rank_file(ranks: str) -> str:
+    """The path itself, or where the job shipped the file of that name (``SparkContext.addFile``)."""
+    if os.path.exists(ranks):
+        return ranks
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(ranks))
+
+
 def _encoder(ranks: str, pattern: str):
     import base64
 
     import tiktoken
 
-    with open(ranks, "rb") as f:
+    with open(rank_file(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("vellum-core", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 

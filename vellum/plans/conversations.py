@@ -60,7 +60,7 @@ def r01_equivalence(spark, d):
 @query("select conv_id, created_at is not null as dated, md5 from (select conv_id, created_at, md5, row_number() over (partition by md5 order by conv_id, created_at nulls first) as r from (select conv_id, created_at, md5(array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), '||')) as md5 from instruct_pairs where messages is not null)) where r = 1")
 def u01_distinct_conversations(spark, d):
     df = table(spark, d, "instruct_pairs").where("messages is not null").withColumn("md5", dedup.turns_key(F.col("messages")))
-    return dedup.first_by(df, [F.col("md5")], [F.asc("conv_id"), F.asc_nulls_first("created_at")]).select("conv_id", F.col("created_at").isNotNull().alias("dated"), "md5")
+    return dedup.first_by(df, [F.col("md5")], [F.col("conv_id"), F.col("created_at")]).select("conv_id", F.col("created_at").isNotNull().alias("dated"), "md5")
 
 
 _QA = "(select conv_id, i, messages[i].content as question, coalesce(messages[i + 1].content, '') as answer from (select conv_id, messages, generate_subscripts(messages, 1) as i from instruct_pairs) where messages[i].role = 'user' and messages[i + 1].role = 'assistant')"
@@ -75,10 +75,10 @@ def u04_shortest_answer(spark, d):
     return dedup.first_by(qa, [F.col("question")], [F.col("n_chars"), F.col("conv_id"), F.col("i")]).select("question", "conv_id", "n_chars")
 
 
-@query("select user_id, event_id, round(value - avg(value) over (partition by user_id), 6) as advantage from events where value is not null")
+@query("select user_id, event_id, round(value - avg(value) over (partition by user_id), 9) as advantage from events where value is not null")
 def a26_advantages(spark, d):
     df = table(spark, d, "events").where("value is not null")
-    return df.select("user_id", "event_id", F.round(stats.advantages(df, "user_id", "value"), 6).alias("advantage"))
+    return df.select("user_id", "event_id", F.round(stats.advantages(df, "user_id", "value"), 9).alias("advantage"))
 
 
 @query("select coalesce(least(cast(nullif(regexp_extract(trim(x), '^([0-9])', 1), '') as int), 5) / 5.0, 0.0) as score, count(*) as n from (select case when conv_id % 3 = 0 then 'none' else (conv_id % 10)::varchar || ' because' end as x from instruct_pairs) group by 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.runtime import table, with_index
-from ..operators import chunk, records, sampling, stats
+from ..operators import chunk, joins, records, sampling, stats
 from .registry import query
 
 _DOC = "coalesce(text, '')"
@@ -140,7 +140,7 @@ def a24_cosine_to_centre(spark, d):
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("v"))
     centre = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("m"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    j = e.join(F.broadcast(centre), "label")
+    j = e.join(joins.small(centre), "label")
     return j.select("label", "vec_id", F.round(dot(F.col("embedding"), F.col("m")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("m"), F.col("m"))), 4).alias("cosine"))
 
 
@@ -192,7 +192,7 @@ def x07_excerpts(spark, d):
 def t03_rendered(spark, d):
     from ..operators import training
 
-    r = training.rendered(table(spark, d, "instruct_pairs"), "conv_id", "messages", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    r = training.rendered(table(spark, d, "instruct_pairs"), "conv_id", "messages", training.RANKS)
     return r.select("conv_id", F.size("ids").alias("n_ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_supervised"))
 
 

@@ -27,9 +27,11 @@ def j03_excluded_rows(spark, d):
     return joins.missing(table(spark, d, "instruct_pairs").select("conv_id").distinct(), table(spark, d, "documents").where("year > 1880").select(F.col("doc_id").alias("conv_id")), ["conv_id"])
 
 
-@query("select book_filename from physics_books where book_filename not in (select book_filename from instruct_pairs where book_filename is not null)")
+@query("select book_filename from physics_books where book_filename not in (select book_filename from instruct_pairs where book_filename is not null and domain = 'optics')")
 def j04_unused_books(spark, d):
-    return joins.missing(table(spark, d, "physics_books").select("book_filename"), table(spark, d, "instruct_pairs").where("book_filename is not null"), ["book_filename"])
+    """Books from which no conversation on one subject was made yet."""
+    used = table(spark, d, "instruct_pairs").where("book_filename is not null and domain = 'optics'")
+    return joins.missing(table(spark, d, "physics_books").select("book_filename"), used, ["book_filename"])
 
 
 _HEAD = "lower(substr(coalesce(text, ''), 1, 3000))"
@@ -50,11 +52,11 @@ def j08_lookups(spark, d):
     return c.join(joins.small(n), c.c_nationkey == n.n_nationkey, "left").join(joins.small(r), n.n_regionkey == r.r_regionkey, "left").select("c_name", "n_name", "r_name")
 
 
-@query("select a.conv_id, b.doc_id from (select conv_id, row_number() over (order by conv_id) as i from (select distinct conv_id from instruct_pairs)) a join (select doc_id, row_number() over (order by doc_id) as i from documents where doc_id <= (select count(distinct conv_id) from instruct_pairs)) b using (i)")
+@query("select a.doc_id, b.title_id from (select doc_id, row_number() over (order by n_chars nulls first, doc_id) as i from documents) a join (select doc_id as title_id, row_number() over (order by coalesce(title, ''), doc_id) as i from documents) b using (i)")
 def j09_positional(spark, d):
-    a = table(spark, d, "instruct_pairs").select("conv_id").distinct()
-    n = a.count()
-    return joins.zipped(a, table(spark, d, "documents").where(F.col("doc_id") <= n).select("doc_id"), ["conv_id"], ["doc_id"]).select("conv_id", "doc_id")
+    docs = table(spark, d, "documents")
+    by_title = docs.select(F.col("doc_id").alias("title_id"), F.coalesce("title", F.lit("")).alias("t"))
+    return joins.zipped(docs.select("doc_id", "n_chars"), by_title, ["n_chars", "doc_id"], ["t", "title_id"]).select("doc_id", "title_id")
 
 
 @query("select coalesce(a.work_key, b.work_key) as work_key, greatest(a.score, b.score) as score from (select work_key, max(year) as score from documents where work_key is not null and source = 'books' group by 1) a full join (select work_key, max(year) as score from documents where work_key is not null and source <> 'books' group by 1) b using (work_key)")
@@ -77,7 +79,7 @@ def u02_distinct_texts(spark, d):
 
 @query("select doc_id, source from (select doc_id, source, row_number() over (partition by substr(text, 1, 200) order by source nulls first, doc_id) as r from documents) where r = 1")
 def u03_prefix_key(spark, d):
-    return dedup.first_by(table(spark, d, "documents"), [F.substring("text", 1, 200)], [F.asc_nulls_first("source"), F.col("doc_id")]).select("doc_id", "source")
+    return dedup.first_by(table(spark, d, "documents"), [F.substring("text", 1, 200)], [F.col("source"), F.col("doc_id")]).select("doc_id", "source")
 
 
 @query()
@@ -88,7 +90,7 @@ def u05_near_within_work(spark, d):
 
 @query("select record_id, page_no, page_id from (select record_id, page_no, page_id, row_number() over (partition by record_id, page_no order by loaded_at desc nulls last, page_id) as r from book_pages) where r = 1")
 def u08_by_location(spark, d):
-    return dedup.first_by(table(spark, d, "book_pages"), [F.col("record_id"), F.col("page_no")], [F.desc_nulls_last("loaded_at"), F.col("page_id")]).select("record_id", "page_no", "page_id")
+    return dedup.first_by(table(spark, d, "book_pages"), [F.col("record_id"), F.col("page_no")], [F.col("loaded_at").isNull(), -F.unix_micros("loaded_at"), F.col("page_id")]).select("record_id", "page_no", "page_id")
 
 
 @query("select origin, count(*) as n, sum(length(text)) as n_chars from (select 'documents' as origin, text from documents union all select 'raw', text from raw_documents union all select 'documents', text from documents) group by 1")

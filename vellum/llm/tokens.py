@@ -10,7 +10,6 @@ never the documents, and a block's vocabulary is bounded by the block.
 from __future__ import annotations
 
 import base64
-import os
 import unicodedata
 from functools import lru_cache
 
@@ -20,11 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.training import RANKS, rank_file
 from . import textvec as tv
 from .common import checkpointed
 
-#: Folder of the public vocabulary files; any rank file of the same kind can be named instead.
-RANKS = os.environ.get("VELLUM_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The published split pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -103,7 +101,7 @@ def pieces(text: str) -> list[str]:
 def encoding(ranks: str):
     import tiktoken
 
-    with open(ranks, "rb") as f:
+    with open(rank_file(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("vellum", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 

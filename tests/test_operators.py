@@ -160,3 +160,53 @@ def test_near_within_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "g string, id bigint, t string, n int")
     for block in (16, 1024):
         assert {tuple(r) for r in dedup.near_within(df, "g", "id", "t", "n", block=block).collect()} == want
+
+
+def test_terms_after_a_cutoff():
+    from vellum.functions import patterns as P
+
+    early, late = P.terms_after(1904), P.terms_after(1914)
+    assert (len(P.ALWAYS_REJECT), len(early), len(late), len(P.COMPACT_REJECT)) == (194, 189, 165, 89)
+    assert r"\bisotope(?:s|ic)?\b" in early and r"\bisotope(?:s|ic)?\b" not in late and P.NARROWED[2] in late and P.NARROWED[1] in early
+    assert P.terms_after(1800) == P.ALWAYS_REJECT
+
+
+def test_replies_of_several_turns(spark):
+    import json
+
+    from vellum.operators import records
+
+    turns = [{"role": r, "content": "x"} for r in ("user", "assistant", "user", "assistant")]
+    replies = [json.dumps({"turns": turns}), json.dumps({"turns": turns[:2]}), json.dumps({"turns": turns[1:] + turns[:1]}), json.dumps({"rejected": True}), "not json", None, "```json\n" + json.dumps({"turns": turns}) + "\n```", json.dumps({"turns": [*turns[:3], {"role": "assistant", "content": ""}]})]
+    df = spark.createDataFrame(list(enumerate(replies)), "i int, t string").select("i", records.conversation_reply(F.col("t"), True).alias("r")).select("i", F.size("r.messages").alias("n"), "r.reason")
+    got = {r["i"]: (r["n"] if (r["n"] or -1) > 0 else None, r["reason"]) for r in df.collect()}
+    assert got == {0: (4, None), 1: (None, None), 2: (None, None), 3: (None, "unknown"), 4: (None, None), 5: (None, None), 6: (4, None), 7: (None, None)}
+
+
+def test_one_group_may_hold_most_rows(spark):
+    from vellum.functions.runtime import values_at, with_rank
+    from vellum.operators import sampling
+
+    rows = [(None if i % 3 == 0 else "a" if i % 3 == 1 else f"g{i % 50}", i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    ranked = {(r["v"]): (r["rank"], r["total"]) for r in with_rank(df, ["g"], ["v"]).collect()}
+    groups: dict = {}
+    for g, v in rows:
+        groups.setdefault(g, []).append(v)
+    assert ranked == {v: (k, len(vs)) for vs in groups.values() for k, v in enumerate(sorted(vs))}
+    assert values_at(df, "v", [0, 5, 899]) == {0: 0, 5: 5, 899: 899}
+    first = {tuple(r) for r in dedup.first_by(df, [F.col("g")], [-F.col("v")]).collect()}
+    assert first == {(g, max(vs)) for g, vs in groups.items()}
+    split = sampling.group_validation(df, "g", 0.2)
+    sides = {r["g"]: r["split"] for r in split.collect()}
+    assert split.count() == 900 and sum(len(groups[g]) for g, s in sides.items() if s == "val") >= 180
+    empty = df.where("false")
+    assert with_rank(empty, ["g"], ["v"]).count() == 0 and dedup.first_by(empty, [F.col("g")], [F.col("v")]).count() == 0
+
+
+def test_search_by_automaton_equals_tests_of_words(spark):
+    specs = spark.createDataFrame([(1, ["mill"], ["water"]), (2, ["MILL wheel", "stone"], []), (3, [], ["x"]), (4, None, None)], "spec_id int, title_words array<string>, author_words array<string>")
+    rows = [(1, "The Mill wheel", None), (2, None, "a mill by the water"), (3, "stones", "x"), (4, None, None), (5, "milk", "water")]
+    df = spark.createDataFrame(rows, "i int, title string, text string")
+    got = {(r["i"], r["spec_id"], r["how"]) for r in joins.search(df, specs, F.col("title"), F.col("text")).collect()}
+    assert got == {(1, 1, "title"), (1, 2, "title"), (2, 1, "text"), (3, 2, "title")}

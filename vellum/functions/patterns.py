@@ -497,3 +497,159 @@ META_REFERENCES = (
     r"\bthe\s+(?:text|passage|excerpt)\s+(?:says|states|mentions|describes|indicates)\b",
     r"\bin\s+the\s+(?:provided|given)\s+(?:text|passage|excerpt)\b",
 )
+
+#: Years in which things named by terms of ALWAYS_REJECT were first known, by the beginning of the term.
+KNOWN_SINCE = {
+    r"\bradioactivity\b": 1898, r"\bquantum\s+theory\b": 1900, r"\bquanta\s+of": 1900, r"\bplanck": 1900, r"\bradioactive\s+decay\b": 1902,
+    r"\bspecial\s+relativity\b": 1905, r"\brelativistic\b": 1905, r"\btime\s+dilation\b": 1905, r"\blength\s+contraction\b": 1905, r"\bmass[–-]energy\b": 1905,
+    r"\be\s*=\s*mc": 1905, r"\blorentz": 1905, r"\beinstein": 1905, r"\bphotoelectric": 1905, r"\bsonar\b": 1906, r"\bhalf[- ]life": 1907, r"\bspacetime\b": 1908,
+    r"\bspace-time\b": 1908, r"\bminkowski": 1908, r"\bgeiger": 1908, r"\bmain\s+sequence": 1911, r"\bhertzsprung": 1911, r"\bsuperconduct": 1911,
+    r"\bcloud\s+chamber": 1911, r"\brutherford": 1911, r"\batomic\s+number\b": 1913, r"\bisotope": 1913, r"\bbohr": 1913, r"\bsommerfeld": 1914,
+}
+#: A term that a later cutoff narrows, and what it becomes.
+NARROWED = (1914, r"\bradioactive\s+(?:isotope|material|waste|contamination|fallout|dating|tracer)\b", r"\bradioactive\s+(?:waste|contamination|fallout|dating|tracer)\b")
+
+
+def terms_after(cutoff: int) -> tuple[str, ...]:
+    """The terms of ALWAYS_REJECT for things not yet known in the year ``cutoff``."""
+    known = tuple(k for k, year in KNOWN_SINCE.items() if year <= cutoff)
+    since, wide, narrow = NARROWED
+    return tuple(narrow if cutoff >= since and t == wide else t for t in ALWAYS_REJECT if not t.startswith(known or ("\0",)))
+
+
+#: The compact list for problems with solutions and answers, matched without regard to case.
+COMPACT_REJECT = (
+    r"\bphoton(?:s|ic)?\b",
+    r"\bpositron(?:s)?\b",
+    r"\bneutrino(?:s|o)?\b",
+    r"\bmuon(?:s)?\b",
+    r"\bgluon(?:s)?\b",
+    r"\bmeson(?:s)?\b",
+    r"\bfermion(?:s)?\b",
+    r"\bboson(?:s)?\b",
+    r"\bhadron(?:s|ic)?\b",
+    r"\bbaryon(?:s|ic)?\b",
+    r"\bquantum\b",
+    r"\bquantized\b",
+    r"\bquantization\b",
+    r"\bwave\s*[\s-]?function(?:s)?\b",
+    r"\bwavefunction\b",
+    r"\buncertainty\s+principle\b",
+    r"\bexclusion\s+principle\b",
+    r"\bpauli\b",
+    r"\bde\s+broglie\b",
+    r"\bcompton\s+(?:scattering|effect|wavelength)\b",
+    r"\bdirac\b",
+    r"\bfeynman\b",
+    r"\bpath\s+integral\b",
+    r"\bspin[- ]orbit\s+coupling\b",
+    r"\bzero[- ]point\s+energy\b",
+    r"\bplanck(?:'?s)?\s+(?:constant|law|distribution|spectrum|radiation|formula)\b",
+    r"\b[Ss]-wave\b",
+    r"\bspin\s+\$?\s*1/2\b",
+    r"\bspin\s+\$?\s*\d+/\d+\b",
+    r"\bspin\s+(?:up|down)\b",
+    r"\bspins\b",
+    r"\belectron(?:s)?\b",
+    r"\bfree\s+electron(?:s)?\b",
+    r"\bspacetime\b",
+    r"\bspace-time\b",
+    r"\bspecial\s+relativity\b",
+    r"\bgeneral\s+relativity\b",
+    r"\brelativistic\b",
+    r"\btime\s+dilation\b",
+    r"\blength\s+contraction\b",
+    r"\bmass[–-]energy\b",
+    r"\be\s*=\s*mc\s*(?:\^|²|2)\b",
+    r"\blorentz\s+(?:transformation|contraction|factor|invariance|covariance)\b",
+    r"\bminkowski\b",
+    r"\beinstein(?:'?s)?\b",
+    r"\bphotoelectric\s+effect\b",
+    r"\brest\s+(?:energy|mass)\b",
+    r"m_\{?0\}?",
+    r"\\gamma\s*[\^{]",
+    r"\bgravitational\s+red\s*shift\b",
+    r"\b[Rr]iemannian\b",
+    r"g_\{?[0-3][0-3]\}?",
+    r"\bspace\s+travele?r\b",
+    r"\bnuclear\b",
+    r"\batomic\s+number\b",
+    r"\bisotope(?:s|ic)?\b",
+    r"\bradioactive\b",
+    r"\bhalf[- ]life\b",
+    r"\bfission\b",
+    r"\bfusion\b(?=.*\b(?:nuclear|reactor|plasma|thermonuclear)\b)",
+    r"\bcosmic\s+ray(?:s)?\b",
+    r"\bproton(?:s)?\b",
+    r"\bsuperconduct(?:ivity|ing|or)\b",
+    r"\bsuperfluid\b",
+    r"\bbose[- ]einstein\b",
+    r"\bfermi[- ]dirac\b",
+    r"\bfermi\s+(?:level|energy|surface|gas)\b",
+    r"\bband\s+gap\b",
+    r"\bphonon(?:s)?\b",
+    r"\bplasmon(?:s)?\b",
+    r"\bexciton(?:s)?\b",
+    r"\blaser(?:s)?\b",
+    r"\btransistor(?:s)?\b",
+    r"\bsemiconductor(?:s)?\b",
+    r"\bLED\b",
+    r"\bwaveguide(?:s)?\b",
+    r"\bantenna(?:e|s)?\b",
+    r"\bradar\b",
+    r"\bspace\s+(?:telescope|shuttle|station)\b",
+    r"\bschr[öo]dinger\b",
+    r"\bheisenberg\b",
+    r"\bbohr(?:'?s)?\s+(?:model|radius|atom|magneton)\b",
+    r"\brutherford(?:'?s)?\s+(?:model|scattering)\b",
+    r"\bbig\s+bang\b",
+    r"\bdark\s+matter\b",
+    r"\bdark\s+energy\b",
+    r"\bblack\s+hole\b",
+    r"\bneutron\s+star\b",
+    r"\bdebye\b",
+)
+
+#: Marks of prediction and of opinion in answers.
+PREDICTIONS = (
+    "coming century shall", "mark my words", "within fifty years", "beyond our present imagining", "annihilated distance", "i predict that by", "i foresee",
+    "the twentieth century shall",
+)
+OPINIONS = ("i hold it to be", "i am firmly convinced", "i am quite convinced", "i am persuaded")
+
+#: Topics kept for evaluation.
+EVAL_TOPICS = (
+    "blackbody", "black body", "black-body", "ultraviolet catastrophe", "uv catastrophe", "cavity radiation", "spectral energy density", "rayleigh-jeans", "equipartition",
+    "photoelectric", "photo-electric", "electrons ejected by light", "chasing a light beam", "frozen light", "light wave stationary", "approaching the speed of light", "speed limit",
+    "train and lightning", "train lightning", "simultaneity", "michelson-morley", "michelson morley", "aether wind", "interferometer", "accelerating elevator", "elevator light",
+    "elevator in space", "free fall equivalence", "equivalence principle", "falling freely", "weightlessness in free fall",
+)
+
+#: Signs of a modern reprint, subjects off the topic, and weights of words on the topic.
+REPRINTS = (
+    "nabu press", "forgotten books", "kessinger", "createspace", "independently published", "wentworth press", "palala press", "scholar's choice", "scholars choice", "hardpress",
+    "rarebooksclub", "general books", "bibliobazaar", "bibliolife", "amazon", "print on demand", "facsimile", "reprint", "leopold classic", "sagwan press", "trieste publishing",
+    "andesite press", "franklin classics", "arkose press", "hansebooks",
+)
+OFF_TOPIC = (
+    "fiction", "novel", "poetry", "drama", "plays", "religion", "theology", "bible", "sermons", "philosophy of mind", "political science", "economics", "law", "jurisprudence",
+    "medicine", "surgery", "anatomy", "physiology", "botany", "zoology", "biology", "chemistry", "agriculture", "cookery", "cooking", "music theory", "art", "architecture", "history of",
+)
+ON_TOPIC = {
+    "physics": 3, "electricity": 3, "magnetism": 3, "electromagnetic": 3, "electromagnetism": 3, "optics": 3, "optical": 2, "mechanics": 3, "thermodynamics": 3,
+    "natural philosophy": 3, "acoustics": 2, "heat": 2, "dynamics": 2, "statics": 2, "hydrostatics": 2, "hydrodynamics": 2, "pneumatics": 2, "gravitation": 3, "gravity": 2,
+    "light": 1, "sound": 1, "energy": 1, "force": 1, "motion": 1, "waves": 1, "vibration": 1, "radiation": 2, "spectrum": 2, "spectroscopy": 2, "kinetics": 2, "kinetic theory": 3,
+    "galvanic": 2, "voltaic": 2, "telegraph": 1, "telephone": 1, "ether": 2, "aether": 2, "luminiferous": 3, "treatise": 1, "experimental": 1, "mathematical": 1, "lecture": 1,
+    "scientific": 1,
+}
+NOT_TEACHING = (
+    "dictionary", "catalog", "catalogue", "newspaper", "gazette", "fiction", "novel", "poetry", "sermon", "hymn", "prayer", "philosophy of mind", "metaphysics", "occult",
+    "spiritualism", "astrology", "alchemy", "phrenology", "mesmerism", "political", "law", "jurisprudence", "medical", "surgery", "anatomy", "botany", "zoology", "agriculture",
+)
+
+#: Marks of casual and of formal prompts.
+CASUAL_MARKS = (
+    "hey", "so ", "like,", "like ", "gonna", "kinda", "pretty ", "i'm ", "i've ", "i was ", "what's ", "how's ", "that's ", "don't ", "can't ", "won't ", "isn't ", "didn't ", "cool",
+    "stuff", "thing is", "right?", "you know",
+)
+FORMAL_MARKS = ("esteemed", "good sir", "pray tell", "i beseech", "i have lately", "i have often", "permit me", "most learned", "dear sir", "venerable")

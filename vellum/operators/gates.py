@@ -46,6 +46,16 @@ def hits(c: Column, terms: tuple[str, ...], flags: str = "(?i)(?d)") -> Column:
     return reduce(lambda a, b: a + b, [c.rlike(flags + p).cast("int") for p in terms])
 
 
+def count_in(c: Column, words) -> Column:
+    """How many of the words or phrases occur anywhere in the text."""
+    return reduce(lambda a, b: a + b, [F.contains(c, F.lit(w)).cast("int") for w in words], F.lit(0))
+
+
+def weighted_in(c: Column, weights: dict[str, int]) -> Column:
+    """Sum of the weights of the words that occur anywhere in the text."""
+    return reduce(lambda a, b: a + b, [F.when(F.contains(c, F.lit(w)), n).otherwise(0) for w, n in weights.items()], F.lit(0))
+
+
 def later_years(c: Column, first: int = 1900, last: int = 2029) -> Column:
     """Year tokens from ``first`` to ``last``."""
     found = F.regexp_extract_all(c, F.lit(r"\b(\d{4})\b"), 1)
@@ -138,3 +148,43 @@ def request_error(messages: Column, max_messages: int = 500, max_chars: int = 80
         ("long_message", F.exists(messages, lambda m: size(m) > max_chars)), ("long_request", total > max_total),
         ("bad_role", F.exists(messages, lambda m: ~F.coalesce(m["role"].isin("user", "assistant", "system"), F.lit(False)))),
     )
+
+
+def problem_reason(text: Column, answers: Column, has_graphs: Column) -> Column:
+    """A later concept in question, solution and answers; needs graphs; no answer that is more than blank."""
+    blank = F.coalesce(F.forall(answers, lambda a: F.trim(F.coalesce(a, F.lit(""))) == ""), F.lit(True))
+    return first_reason(("later_concept", any_of(text, P.COMPACT_REJECT)), ("has_graphs", F.coalesce(has_graphs, F.lit(False))), ("no_answer", blank))
+
+
+def predicts(c: Column) -> Column:
+    """Two marks of prediction or more in lower-cased answers."""
+    return count_in(c, P.PREDICTIONS) >= 2
+
+
+def opines(c: Column) -> Column:
+    return count_in(c, P.OPINIONS) >= 1
+
+
+def is_modern_prompt(c: Column) -> Column:
+    """More casual than formal marks, one at least."""
+    low = F.lower(c)
+    casual = count_in(low, P.CASUAL_MARKS)
+    return (casual > count_in(low, P.FORMAL_MARKS)) & (casual >= 1)
+
+
+def catalogue_reason(title: Column, subject: Column, description: Column, creator: Column, year: Column, first: int = 1500, last: int = 1899) -> Column:
+    """Why a catalogue entry is passed over: date, modern reprint, off the topic, no word on the topic; null if it is not."""
+    text = lambda *cs: F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cs]))
+    score = weighted_in(text(title, subject), P.ON_TOPIC)
+    return first_reason(
+        ("no_date", year.isNull()), ("bad_date", (year < first) | (year > last)), ("modern_reprint", count_in(text(description, title, creator), P.REPRINTS) >= 1),
+        ("off_topic", (count_in(text(subject, title), P.OFF_TOPIC) >= 2) & (score < 2)), ("low_score", score < 1),
+    )
+
+
+def book_reason(text: Column, score: Column, title: Column, least_kb: int = 50, least_score: float = 0.8) -> Column:
+    """A book's file is too small, its score too low, or its title names what no lesson is made of."""
+    return first_reason(
+        ("too_small", F.coalesce(F.octet_length(text), F.lit(0)) < least_kb * 1024), ("low_score", F.coalesce(score, F.lit(0.0)) < least_score),
+        ("excluded", count_in(F.lower(F.coalesce(title, F.lit(""))), P.NOT_TEACHING) >= 1),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .clean import _sub, once, strip
+from .clean import _sub, braced_answer, once, strip
 
 #: Literal markers of e-books, and marks at the end of an encyclopedia page.
 START_MARKS = ("*** START OF THIS PROJECT GUTENBERG", "*** START OF THE PROJECT GUTENBERG", "*END*THE SMALL PRINT")
@@ -169,3 +169,80 @@ def certainty(logits: Column) -> Column:
     top = F.array_max(logits)
     lse = top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     return lse - F.aggregate(logits, F.lit(0.0), lambda a, x: a + x) / F.size(logits)
+
+
+def _long(c: Column, n: int) -> Column:
+    return F.coalesce(F.length(c) >= n, F.lit(False))
+
+
+def valid_insight(setup: Column, insight: Column, excerpt: Column) -> Column:
+    return _long(setup, 50) & _long(insight, 20) & _long(excerpt, 10)
+
+
+def valid_reply(assistant: Column, user: Column | None = None, least: int = 100) -> Column:
+    """A reasoning block of ``least`` characters without the blanks around it, and an answer mark; a question of 20 characters if one is given."""
+    inner = strip(F.regexp_extract(assistant, r"(?s)<think>(.*?)</think>", 1))
+    ok = F.coalesce((F.length(inner) >= least) & F.contains(assistant, F.lit("\\answer{")), F.lit(False))
+    return ok if user is None else ok & _long(user, 20)
+
+
+def valid_contradiction(prompt: Column, gold: Column) -> Column:
+    """A long prompt with observations, assumptions and a question, and a gold answer of 50 characters."""
+    low = F.lower(prompt)
+    any_in = lambda *ws: F.coalesce(low.rlike("|".join(ws)), F.lit(False))
+    return _long(prompt, 100) & _long(gold, 50) & any_in("observation", "observed", "experimental") & any_in("assumption") & any_in("which assumption", "reconcile", r"\?")
+
+
+def valid_form(reply: Column) -> Column:
+    """Both tags of a reasoning block and an answer mark, in any place."""
+    return F.coalesce(F.contains(reply, F.lit("<think>")) & F.contains(reply, F.lit("</think>")) & reply.rlike(r"\\answer\s*\{"), F.lit(False))
+
+
+MESSAGE = "array<struct<role:string,content:string>>"
+
+
+def conversation_reply(reply: Column, several_turns: bool = False) -> Column:
+    """(messages, reason) of a JSON reply, fenced or not: a conversation, a stated rejection, or both null if it is neither.
+
+    One turn has user and assistant; several are four or more, in turn, none empty.
+    """
+    bare = _sub(_sub(strip(reply), r"^```[^\n]*\n", ""), r"\n\s*```\s*$", "")
+    got = F.from_json(bare, f"rejected boolean, reason string, user string, assistant string, turns {MESSAGE}")
+    filled = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    if several_turns:
+        turns = got["turns"]
+        in_turn = F.transform(turns, lambda m, i: F.coalesce(m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant"), F.lit(False)) & filled(m["content"]))
+        ok, messages = F.coalesce((F.size(turns) >= 4) & F.forall(in_turn, lambda x: x), F.lit(False)), turns
+    else:
+        ok = filled(got["user"]) & filled(got["assistant"])
+        messages = F.array(*[F.struct(F.lit(r).alias("role"), got[r].alias("content")) for r in ("user", "assistant")])
+    rejected = F.coalesce(got["rejected"], F.lit(False))
+    return F.struct(F.when(ok & ~rejected, messages).alias("messages"), F.when(rejected, F.coalesce(got["reason"], F.lit("unknown"))).alias("reason"))
+
+
+def gold_problem(messages: Column) -> Column:
+    """(prompt, gold_answer) of the last question and answer of a conversation; null gold without an answer mark."""
+    said = lambda role: F.try_element_at(F.filter(messages, lambda m: m["role"] == role), F.lit(-1))["content"]
+    return F.struct(said("user").alias("prompt"), braced_answer(said("assistant")).alias("gold_answer"))
+
+
+def shots(examples: list[str]) -> Column:
+    return F.lit("".join(f"{x}\n\n" for x in examples))
+
+
+def choice_prompts(query: Column, choices: Column, glue: str, examples: list[tuple[str, str]] = ()) -> Column:
+    """A prompt per choice: worked examples, the query and the choice."""
+    head = shots([f"{q}{glue}{a}" for q, a in examples])
+    return F.transform(choices, lambda c: F.concat(head, query, F.lit(glue), c))
+
+
+def schema_prompts(contexts: Column, continuation: Column, glue: str, examples: list[tuple[str, str]] = ()) -> Column:
+    """A prompt per context, all with one continuation."""
+    head = shots([f"{c}{glue}{x}" for c, x in examples])
+    return F.transform(contexts, lambda c: F.concat(head, c, F.lit(glue), continuation))
+
+
+def lm_prompts(context: Column, continuation: Column, glue: str, examples: list[tuple[str, str]] = ()) -> Column:
+    """Two prompts: without the continuation, white space at its ends dropped, and with it; contexts are trimmed."""
+    lead = F.concat(shots([f"{c.strip()}{glue}{x}" for c, x in examples]), strip(context), F.lit(glue))
+    return F.array(strip(lead), F.concat(lead, continuation))

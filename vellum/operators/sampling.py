@@ -81,3 +81,26 @@ def mixed(parts: list[tuple[str, DataFrame]], key: str) -> DataFrame:
         one = df.withColumn("part", F.lit(name)).withColumn("part_no", F.lit(i))
         union = one if union is None else union.unionByName(one)
     return with_index(union.withColumn("__h", F.md5(F.concat_ws("|", F.col("part_no").cast("string"), F.col(key).cast("string")))), "__h", "part_no", key).drop("__h")
+
+
+def group_validation(df: DataFrame, group: str, share: float, seed: int = 0) -> DataFrame:
+    """Whole groups (files, shards) are validation, taken in hashed order until they hold ``share`` of the rows, at least one row.
+
+    The group in which the target is reached is the last. Only group sizes are ordered and summed.
+    """
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("__g").cast("string"), F.lit(""))))
+    picked = within_budget(sizes.withColumn("__h", order), ["__h", "__g"], F.col("__n"), max(1, int(total * share)) - 1)
+    marked = picked.select("__g", F.lit(True).alias("__v"))
+    out = df.join(marked, F.col(group).eqNullSafe(F.col("__g")), "left")
+    return out.withColumn("split", F.when(F.col("__v"), "val").otherwise("train")).drop("__g", "__v")
+
+
+def block_sample(df: DataFrame, block: Column, keep: Column, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows that pass ``keep``: blocks (row groups) are scanned in hashed order until 2 n rows pass, then n of these are taken in hashed order."""
+    blocks = df.withColumn("__blk", block)
+    passing = blocks.where(keep)
+    sizes = passing.groupBy("__blk").agg(F.count("*").alias("__n")).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("__blk").cast("string"))))
+    scanned = within_budget(sizes, ["__h", "__blk"], F.col("__n"), 2 * n - 1).select("__blk")
+    return passing.join(scanned, "__blk", "left_semi").orderBy(F.md5(F.col(key).cast("string")), key).limit(n).drop("__blk")

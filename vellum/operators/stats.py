@@ -117,3 +117,11 @@ def smoothed(df: DataFrame, group: str, order: list[str], value: str, beta: floa
     state = lambda v, n: F.struct(v.cast("double").alias("v"), n.cast("int").alias("n"))
     folded = F.aggregate(seq, state(F.lit(0.0), F.lit(0)), lambda a, x: state(a["v"] * beta + x * (1 - beta), a["n"] + 1))
     return df.where(F.col(value).isNotNull()).groupBy(group).agg(folded.alias("s")).select(group, (F.col("s.v") / (1 - F.pow(F.lit(beta), F.col("s.n")))).alias("ema"), F.col("s.n").alias("n"))
+
+
+def ridge(df: DataFrame, group: list[str], x: Column, y: Column, penalty: float) -> DataFrame:
+    """Slope, intercept and r2 of y on x with the squared slope penalised by ``penalty``: closed form from five sums."""
+    s = df.where(x.isNotNull() & y.isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), (F.covar_pop(x, y) * F.count("*")).alias("sxy"), (F.var_pop(x) * F.count("*")).alias("sxx"), (F.var_pop(y) * F.count("*")).alias("syy"))
+    slope = F.col("sxy") / (F.col("sxx") + F.lit(penalty))
+    rest = F.col("syy") - 2 * slope * F.col("sxy") + slope * slope * F.col("sxx")
+    return s.select(*group, slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.when(F.col("syy") > 0, 1 - rest / F.col("syy")).alias("r2"))

@@ -19,6 +19,8 @@ from . import clean
 
 #: Path of a public vocabulary file: a parameter, by environment or argument; on a cluster also a file shipped with the job.
 RANKS = os.environ.get("VELLUM_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Fixed value: the split pattern published with the vocabulary file.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fixed value: split pattern with numbers in groups of one or two digits.
 SPLIT = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 
@@ -186,12 +188,12 @@ def _encoder(ranks: str, pattern: str):
     return tiktoken.Encoding("vellum-core", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def rendered(df: DataFrame, id_col: str, messages_col: str, ranks: str, limit: int = 2048, pattern: str = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""") -> DataFrame:
+def rendered(df: DataFrame, id_col: str, messages_col: str, ranks: str, limit: int = 2048, pattern: str = "") -> DataFrame:
     """id, ids, mask of conversations: a leading system message joins the first user turn, answers and their end are supervised, cut at ``limit``."""
     schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        enc = _encoder(ranks, pattern)
+        enc = _encoder(ranks, pattern or PATTERN)
         base = enc.max_token_value + 1
         for convs in batches:
             out = []
@@ -217,3 +219,51 @@ def rendered(df: DataFrame, id_col: str, messages_col: str, ranks: str, limit: i
 def share_of_golds(answer: Column, golds: Column) -> Column:
     """Share of the gold answers that one answer equals; 0 without an answer or golds."""
     return F.when(answer.isNull() | (F.size(golds) == 0), 0.0).otherwise(F.size(F.filter(golds, lambda g: F.trim(g) == F.trim(answer))) / F.size(golds))
+
+
+def token_bytes(spark, ranks: str = RANKS, special: tuple[str, ...] = SPECIAL) -> DataFrame:
+    """token_id, n_bytes of a vocabulary file: bytes of the token as text, where bytes that are no text count as the mark that stands for them; special tokens 0."""
+    line = F.split(F.col("value"), " ")
+    plain = spark.read.text(rank_file(ranks)).select(line[1].cast("int").alias("token_id"), F.unbase64(line[0]).alias("b"))
+
+    @F.pandas_udf(T.IntegerType())
+    def size(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: len(bytes(x).decode("utf-8", "replace").encode())).astype("int32")
+
+    rows = plain.select("token_id", size("b").alias("n_bytes"))
+    base = rows.agg((F.max("token_id") + 1).alias("base"))
+    own = base.select(F.explode(F.sequence(F.col("base"), F.col("base") + len(special) - 1)).alias("token_id"), F.lit(0).alias("n_bytes"))
+    return rows.unionByName(own)
+
+
+def encoded(df: DataFrame, id_col: str, text: Column, ranks: str = RANKS, prepend: int | None = None, append: int | None = None, pattern: str = "") -> DataFrame:
+    """id, ids: tokens of each text between an optional first and last id; null texts stay null."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = _encoder(ranks, pattern or PATTERN)
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else [*([prepend] if prepend is not None else []), *enc.encode_ordinary(t), *([append] if append is not None else [])])
+
+    return df.select(id_col, run(text).alias("ids"))
+
+
+def decoded(ids: Column, ranks: str = RANKS) -> Column:
+    """Text of an array of ids of the vocabulary; ids outside it are passed over."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = _encoder(ranks, PATTERN)
+        for rows in batches:
+            yield rows.map(lambda r: None if r is None else enc.decode([int(i) for i in r if 0 <= i <= enc.max_token_value]))
+
+    return run(ids)
+
+
+def long_chunks(ids: Column, capacity: int, first_id: int | None = None) -> Column:
+    """(chunk_no, own_row, ids) of a rendered conversation: the first chunk packs with others, each further one takes a row
+    of its own. With ``first_id`` these begin with it, and what it displaces is dropped, as the row is cut to ``capacity``."""
+    n = F.greatest(F.ceil(F.size(ids) / F.lit(capacity)).cast("int"), F.lit(1))
+    part = lambda i: F.slice(ids, i * capacity + 1, F.lit(capacity))
+    body = lambda i: part(i) if first_id is None else F.when(i == 0, part(i)).otherwise(F.concat(F.array(F.lit(first_id)), F.slice(part(i), 1, capacity - 1)))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk_no"), (i > 0).alias("own_row"), body(i).alias("ids")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, conversations, corpus, gating, mining, records, relations, statistics  # noqa: F401
+from . import cleaning, conversations, corpus, gating, mining, records, relations, selection, statistics  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

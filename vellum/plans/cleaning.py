@@ -101,7 +101,7 @@ def c07_whitespace(spark, d):
     return _result(df, clean.squeeze_white(t))
 
 
-@query()
+@query(_sql(_steps([(r"(?m)^\s*[-\[]*\s*\d{1,4}\s*[-\]]*\s*$", ""), (r"(?m)^\s*[a-zA-Z]\s*$", ""), (r"(?m)^[^a-zA-Z]*$", "")], "")))
 def c08_page_artefacts(spark, d):
     df, t = planted(spark, d)
     return _result(df, clean.drop_page_artefacts(t))
@@ -179,7 +179,7 @@ def c21_noise_lines(spark, d):
     return _result(df, clean.drop_noise_lines(t))
 
 
-@query()
+@query(_sql(r"case when regexp_matches(right(t, 5000), '(?m)^\s*THE END\.?\s*$') then left(t, greatest(length(t) - 5000, 0)) || regexp_extract(right(t, 5000), '(?ms)\A(.*?)^\s*THE END\.?\s*$', 1) else t end"))
 def c20_trailing_catalogue(spark, d):
     df, t = planted(spark, d)
     return _result(df, clean.cut_after_end(t))
@@ -250,10 +250,10 @@ def c42_answers(spark, d):
     return ms.select("conv_id", (F.col("i") + 1).cast("bigint").alias("turn"), clean.simple_answer(c).alias("answer"), clean.final_number(F.replace(c, F.lit("\\answer{"), F.lit("#### "))).alias("final_number"))
 
 
-@query()
+@query(r"select conv_id, i as turn, case when regexp_matches(r, p) then trim(regexp_extract(r, p, 1)) end as answer from (select conv_id, i, substr(x, strpos(x, '\answer{') + 8) as r, '^((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}' as p from (select conv_id, i, m.content || ' \answer{\frac{1}{2}}' as x from (select conv_id, unnest(messages) as m, generate_subscripts(messages, 1) as i from instruct_pairs) where m.role = 'assistant' and m.content is not null))")
 def c43_braced_answers(spark, d):
-    ms = table(spark, d, "instruct_pairs").select("conv_id", F.posexplode("messages").alias("i", "m")).where("m.role = 'assistant'")
-    return ms.select("conv_id", "i", clean.braced_answer(F.concat(F.col("m.content"), F.lit(" \\answer{\\frac{1}{2}}"))).alias("answer"))
+    ms = table(spark, d, "instruct_pairs").select("conv_id", F.posexplode("messages").alias("i", "m")).where("m.role = 'assistant' and m.content is not null")
+    return ms.select("conv_id", (F.col("i") + 1).cast("bigint").alias("turn"), clean.braced_answer(F.concat(F.col("m.content"), F.lit(" \\answer{\\frac{1}{2}}"))).alias("answer"))
 
 
 @query("select doc_id, 'Multiple Choice question: ' || coalesce(title, '') || chr(10) || '- ' || coalesce(source, '') || '=A' || chr(10) || '- ' || coalesce(domain, '') || '=B' || chr(10) || chr(10) || 'Respond only with the letter of the correct answer.' as prompt from documents")

@@ -8,21 +8,6 @@ from ..functions.runtime import table
 from ..operators import clean, dedup, gates, stats, training
 from .registry import query
 
-#: Marks of opinion and prediction in answers.
-OPINIONS = ("i hold it to be", "i am firmly convinced", "i am quite convinced", "i am persuaded")
-_SAID = "array_to_string(list_transform(list_filter(messages, lambda m: m.role = 'assistant'), lambda m: lower(coalesce(m.content, ''))), ' ')"
-
-
-@query(f"select conv_id, (case when contains(t, 'must have') then 1 else 0 end) + (case when contains(t, 'may have') then 1 else 0 end) >= 2 as predicts, {' or '.join(f'contains(t, {chr(39)}{o}{chr(39)})' for o in OPINIONS)} as opines from (select conv_id, {_SAID} as t from instruct_pairs where messages is not null)")
-def f13_marked_answers(spark, d):
-    t = F.lower(gates.spoken(F.col("messages"), "assistant"))
-    opines = F.lit(False)
-    for o in OPINIONS:
-        opines = opines | F.contains(t, F.lit(o))
-    two = F.contains(t, F.lit("must have")).cast("int") + F.contains(t, F.lit("may have")).cast("int") >= 2
-    return table(spark, d, "instruct_pairs").where("messages is not null").select("conv_id", two.alias("predicts"), opines.alias("opines"))
-
-
 @query("select phrase, round(avg(cast(contains(lower(coalesce(m.content, '')), phrase) as int)), 6) as rate, count(*) as n from (select unnest(messages) as m from instruct_pairs), (select unnest(['let us suppose', 'in a word', 'i have']) as phrase) where m.role = 'assistant' group by 1")
 def a14_phrase_rates(spark, d):
     ms = table(spark, d, "instruct_pairs").select(F.explode("messages").alias("m")).where("m.role = 'assistant'")

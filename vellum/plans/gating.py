@@ -36,9 +36,9 @@ def _years(c: str, first: int) -> str:
     return f"len(list_filter(regexp_extract_all({c}, '\\b(\\d{{4}})\\b', 1), lambda y: cast(y as int) between {first} and 2029))"
 
 
-def _period(c: str, first: int = 1900, years: int = 5, least: int = 500) -> str:
+def _period(c: str, first: int = 1900, years: int = 5, least: int = 500, terms=P.ALWAYS_REJECT) -> str:
     return (
-        f"case when {c} is null or length({c}) < {least} then 'too_short' when regexp_matches({c}, {_any(P.ALWAYS_REJECT)}) then 'always_reject' "
+        f"case when {c} is null or length({c}) < {least} then 'too_short' when regexp_matches({c}, {_any(terms)}) then 'always_reject' "
         f"when {_years(c, first)} >= {years} then 'later_years' when {_hits(c, P.CONTEXT_TERMS)} >= 3 then 'context' end"
     )
 
@@ -53,11 +53,11 @@ def f05_period_gate_report(spark, d):
 
 
 @query(
-    f"select doc_id, coalesce(case when year > 1880 then 'metadata_year' else {_period('t', 1881, 5, 300)} end, 'kept') as reason from (select doc_id, year, {_T} as t from documents)"
+    f"select doc_id, coalesce(case when year > 1880 then 'metadata_year' else {_period('t', 1881, 5, 300, P.terms_after(1904))} end, 'kept') as reason from (select doc_id, year, {_T} as t from documents)"
 )
 def f06_cutoff_gate(spark, d):
     t = F.concat("text", _plant("doc_id"))
-    reason = F.coalesce(gates.period_reason(t, 300, 1881), F.lit("kept"))
+    reason = F.coalesce(gates.period_reason(t, 300, 1881, terms=P.terms_after(1904)), F.lit("kept"))
     return table(spark, d, "documents").select("doc_id", F.when(F.col("year") > 1880, "metadata_year").otherwise(reason).alias("reason"))
 
 
@@ -148,12 +148,3 @@ def f26_requests(spark, d):
 def f27_topic_density(spark, d):
     hit = F.lower("text").rlike("heat|optic|electric|magnet|lens").cast("int")
     return table(spark, d, "documents").where("text is not null").groupBy("source", "domain").agg(F.sum(hit).alias("n_hits"), F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("density"))
-
-
-@query("select doc_id, (case when contains(t, 'photograph') then 2 else 0 end) + (case when contains(t, 'electric') then 1 else 0 end) + (case when contains(t, 'lens') then 1 else 0 end) as score from (select doc_id, lower(coalesce(title, '') || ' ' || coalesce(text, '')) as t from documents)")
-def f19_weighted_terms(spark, d):
-    t = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
-    score = F.lit(0)
-    for word, w in (("photograph", 2), ("electric", 1), ("lens", 1)):
-        score = score + F.when(F.contains(t, F.lit(word)), w).otherwise(0)
-    return table(spark, d, "documents").select("doc_id", score.alias("score"))

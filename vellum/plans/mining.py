@@ -29,6 +29,13 @@ def g05_dialogue_turns(spark, d):
     return dialogue.merged_turns(q, ["doc_id", "session"], "pos", "speaker", "quote")
 
 
+@query()
+def g03_quote_sessions(spark, d):
+    """Sessions of attributed quotes that two speakers, or one who is a pronoun, hold."""
+    s = dialogue.two_speakers(dialogue.sessions(dialogue.quotes(table(spark, d, "documents"), "doc_id", _spoken()), "doc_id"), "doc_id")
+    return s.groupBy("doc_id", "session").agg(F.count("*").alias("n_quotes"), F.min("pos").alias("first_pos"))
+
+
 @query()
 def g02_quote_runs(spark, d):
     lines = F.concat(F.lit('"A first line that is quoted."\n"A second line that is quoted."\n'), F.coalesce("text", F.lit("")))

@@ -107,17 +107,13 @@ def c49_traces(spark, d):
     return table(spark, d, "documents").select("doc_id", x.alias("trace"), records.valid_trace(x, 40).alias("valid"))
 
 
-@query("select doc_id, case when n_tokens = 0 or mean_prior < -9.2 then 'low' when mean_prior > -7.6 then 'high' else 'keep' end as verdict from (select doc_id, coalesce(n, 0) as n_tokens, round(coalesce(m, 0), 6) as mean_prior from documents left join (select doc_id, count(*) as n, avg(log2_prior) as m from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents) join (select token, log2(count(*) / (sum(count(*)) over ())) as log2_prior from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents) group by token) using (token) group by doc_id) using (doc_id))")
+@query("select doc_id, case when n_tokens = 0 or mean_prior < -11.36 then 'low' when mean_prior > -9.91 then 'high' else 'keep' end as verdict, case when n_tokens = 0 or mean_prior < -9.2 then 'low' when mean_prior > -7.6 then 'high' else 'keep' end as verdict_here from (select doc_id, coalesce(n, 0) as n_tokens, round(coalesce(m, 0), 6) as mean_prior from documents left join (select doc_id, count(*) as n, avg(log2_prior) as m from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents) join (select token, log2(count(*) / (sum(count(*)) over ())) as log2_prior from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents) group by token) using (token) group by doc_id) using (doc_id))")
 def f12_prior_filter(spark, d):
     df = table(spark, d, "documents")
     s = stats.document_scores(df, ["doc_id"], F.col("text"), stats.priors(stats.exploded(df, [], F.col("text"))))
-    return s.select("doc_id", stats.prior_verdict(F.round("mean_prior", 6), F.col("n_tokens"), -9.2, -7.6).alias("verdict"))
-
-
-@query("select conv_id, len(list_filter(['galvanometer', 'telescope', 'pendulum'], lambda w: contains(t, w))) > 0 as excluded from (select conv_id, lower(array_to_string(list_transform(messages, lambda m: coalesce(m.content, '')), ' ')) as t from instruct_pairs where messages is not null)")
-def f14_topic_exclusion(spark, d):
-    t = F.lower(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), " "))
-    return table(spark, d, "instruct_pairs").where("messages is not null").select("conv_id", F.exists(F.array(*map(F.lit, ("galvanometer", "telescope", "pendulum"))), lambda w: F.contains(t, w)).alias("excluded"))
+    """By the published thresholds, and by some that part these texts, whose few words are all frequent."""
+    mean, n = F.round("mean_prior", 6), F.col("n_tokens")
+    return s.select("doc_id", stats.prior_verdict(mean, n).alias("verdict"), stats.prior_verdict(mean, n, -9.2, -7.6).alias("verdict_here"))
 
 
 @query(r"select conv_id, i as turn, regexp_matches(m.content, '\d+\s*(?:feet|yards|inches|degrees|pounds|ounces|grains|shillings|leagues|fathoms|minutes|acres)') or regexp_matches(m.content, '\\answer\{-?[\d.]+\}') as quantitative from (select conv_id, unnest(messages) as m, generate_subscripts(messages, 1) as i from instruct_pairs) where m.role = 'assistant' and m.content is not null")

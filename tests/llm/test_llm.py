@@ -231,6 +231,13 @@ def test_refusal_counts_every_clause(spark, models):
     assert {r["conv_id"]: r["defect"] for r in instruct.pair_defects(df, models[1]).collect()} == {1: "refusal", 2: None, 3: "empty", 4: None}
 
 
+def test_refusals_that_restate_the_question_and_copies_with_a_lead(spark, models):
+    ask = "What ought one to expect of such a bright place of the office in winter?"
+    rows = [(1, ask, "You ask about such a bright place of the office. My apologies, I know nothing that would let me reply to you."), (2, "Name three uses of his comet.", "The question is: Name three uses of his comet."), (3, "Name three uses of his comet.", "Name three uses of his comet. The tail.")]
+    got = {r["conv_id"]: r["defect"] for r in instruct.pair_defects(conversations(spark, rows), models[1]).collect()}
+    assert got == {1: "refusal", 2: "copied", 3: None}
+
+
 def test_long_refusals(spark, models):
     parts = ["I must humbly beg that you will not press me for any reply upon this point", "the rules by which I am bound leave me no freedom to treat of it at all", "you would do well to look to some other friend for what you want", "pray take this for all that can be said to you here today"]
     long = ". ".join((parts * 8)[:9]) + "."

@@ -4,8 +4,8 @@ Refusals are found by the templates of their openings. The opening clauses that
 whatever the answer's length, are reduced to distinct texts and clustered by MinHash with exact
 verification (word pairs, likeness 0.6). A cluster, a clause and those alike to it, is a refusal template if
 it opens the answers of several unrelated prompts or if it holds one of the seed templates. An answer is a
-refusal if such a template is among its opening clauses and little of it lies outside templates: outside
-the clusters and outside clauses that recur in other answers of that kind. Copies, languages and endings are checked pair by pair.
+refusal if such a template is among its opening clauses and little of it lies outside templates and question:
+outside the clusters, the clauses that recur in other answers of that kind, and the question's words. Copies, languages and endings are checked pair by pair.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .language import LanguageModel, word_scores
 from .neardup import FEW, near_duplicate_links
 
 OPENING_CLAUSES = 5
-#: An answer declines if at most so many words, or this share of its words, lie outside templates.
+#: An answer declines if at most so many words, or this share of its words, lie outside templates and question.
 SPARE_WORDS, SPARE_SHARE = 9, 0.2
 #: Known ways to decline, which need not recur to count (fixed values).
 SEEDS = (
@@ -88,10 +88,13 @@ def is_copy(question: str, answer: str) -> bool:
     nq = sum(q.values())
     if nq < 3 or 0.5 * len(answer.split()) > 3.5 * nq:
         return False
-    a = Counter(WORD.findall(answer.lower()))
-    na = sum(a.values())
+    said = WORD.findall(answer.lower())
+    a, na = Counter(said), len(said)
     if na < 3:
         return False
+    tail = Counter(said[-nq:])
+    if na <= nq + 5 and sum(min(n, q[w]) for w, n in tail.items()) >= 0.9 * nq:  # a short lead, then the question
+        return True
     times = max(1, round(na / nq))
     shared = sum(min(a[w], q[w] * times) for w in a)
     covered = sum(min(a[w], q[w]) for w in q)
@@ -171,14 +174,14 @@ def declining(answer: str) -> list[str]:
     return [c for c in first[:OPENING_CLAUSES] if says_no(c)]
 
 
-CHECKED = "pair_no int, text_key bigint, prompt bigint, is_empty boolean, copied boolean, wrong_language boolean, truncated boolean, opening array<string>, clauses array<string>"
+CHECKED = "pair_no int, text_key bigint, prompt bigint, is_empty boolean, copied boolean, wrong_language boolean, truncated boolean, opening array<string>, clauses array<string>, fresh array<int>"
 
 
 def pair_checks(rows: DataFrame, model: LanguageModel) -> DataFrame:
     """id, pair_no, keys of the pair's texts and of its prompt, the checks, and the clauses of answers whose opening says no.
 
-    ``opening`` has their opening clauses that do, ``clauses`` all clauses; both are null for other answers, and for
-    empty or copied ones.
+    ``opening`` has their opening clauses that do, ``clauses`` all clauses and ``fresh`` each one's number of words
+    that the question has not; all are null for other answers, and for empty or copied ones.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["id"].dataType.simpleString()
@@ -193,19 +196,22 @@ def pair_checks(rows: DataFrame, model: LanguageModel) -> DataFrame:
                 none = [is_empty(a) for _, a in part]
                 copied = [not e and bool(q) and is_copy(q, a) for e, (q, a) in zip(none, part)]
                 cut = [not e and is_truncated(a) for e, (_, a) in zip(none, part)]
-                foreign, opening, clauses, keys, prompts = [], [], [], [], []
+                foreign, opening, clauses, fresh, keys, prompts = [], [], [], [], [], []
                 for ql, al, e, c, (q, a) in zip(q_lang, a_lang, none, copied, part):
                     foreign.append(ql is not None and al is not None and ql != al and not (al in ASKED and ASKED[al].search(q or "")))
                     first = declining(a) if not e and not c else []
                     opening.append(first or None)
-                    clauses.append(clauses_of(a) if first else None)
+                    own = clauses_of(a) if first else None
+                    asked = set(WORD.findall((q or "").lower())) if first else set()
+                    clauses.append(own)
+                    fresh.append([sum(w not in asked for w in x.split()) for x in own] if first else None)
                     prompt = " ".join((q or "").lower().split())
                     prompts.append(clause_key(prompt))
                     keys.append(clause_key(f"{q}\x00{a}"))
                 ids = [batch.column(i).slice(at, len(part)) for i in range(2)]
                 flags = [pa.array(x, pa.bool_()) for x in (none, copied, foreign, cut)]
-                texts = [pa.array(x, pa.list_(pa.string())) for x in (opening, clauses)]
-                names = ["id", "pair_no", "text_key", "prompt", "is_empty", "copied", "wrong_language", "truncated", "opening", "clauses"]
+                texts = [*(pa.array(x, pa.list_(pa.string())) for x in (opening, clauses)), pa.array(fresh, pa.list_(pa.int32()))]
+                names = ["id", "pair_no", "text_key", "prompt", "is_empty", "copied", "wrong_language", "truncated", "opening", "clauses", "fresh"]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(keys, pa.int64()), pa.array(prompts, pa.int64()), *flags, *texts], names=names)
                 at += len(part)
 
@@ -243,11 +249,11 @@ def refusals(checks: DataFrame, min_prompts: int = 3) -> DataFrame:
     hit = spoken.select("id", "pair_no", "text_key", F.explode("opening").alias("clause")).join(few(known), "clause", "left_semi")
     able = hit.select("id", "pair_no", "text_key").distinct()
     each = spoken.join(able, ["id", "pair_no", "text_key"], "left_semi").dropDuplicates(["id", "pair_no", "text_key"])
-    each = checkpointed(each.select("id", "pair_no", "text_key", "prompt", F.posexplode("clauses").alias("clause_no", "clause")).withColumn("n_words", F.size(F.split("clause", " "))))
+    each = checkpointed(each.select("id", "pair_no", "text_key", "prompt", F.explode(F.arrays_zip("clauses", "fresh")).alias("c")).select("id", "pair_no", "text_key", "prompt", F.col("c.clauses").alias("clause"), F.col("c.fresh").alias("n_fresh"), F.size(F.split("c.clauses", " ")).alias("n_words")))
     # a clause outside the opening, as a closing formula, counts as a template where it recurs in answers that open with one
     again = each.groupBy("clause").agg(F.countDistinct("prompt").alias("n")).where(f"n >= {min_prompts}").select("clause").unionByName(known).distinct()
     marked = each.join(again.withColumn("formula", F.lit(True)), "clause", "left")
-    spare = F.sum(F.when(F.col("formula"), 0).otherwise(F.col("n_words")))
+    spare = F.sum(F.when(F.col("formula"), 0).otherwise(F.col("n_fresh")))
     out = marked.groupBy("id", "pair_no", "text_key").agg(spare.alias("spare"), F.sum("n_words").alias("words"))
     return out.where((F.col("spare") <= SPARE_WORDS) | (F.col("spare") <= SPARE_SHARE * F.col("words"))).select("id", "pair_no", "text_key")
 
@@ -264,5 +270,5 @@ def pair_defects(df: DataFrame, model: LanguageModel, id_col: str = "conv_id", m
     defect = (
         F.when(F.col("is_empty"), "empty").when(F.col("copied"), "copied").when(F.coalesce("refusal", F.lit(False)), "refusal").when(F.col("wrong_language"), "wrong_language").when(F.col("truncated"), "truncated")
     )
-    rows = checks.drop("opening", "clauses", "prompt").distinct()
+    rows = checks.drop("opening", "clauses", "fresh", "prompt").distinct()
     return rows.join(declined, ["id", "pair_no", "text_key"], "left").select(F.col("id").alias(id_col), "pair_no", defect.alias("defect"))

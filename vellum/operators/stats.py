@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.runtime import values_at, with_rank
-from .joins import small
+from ..functions.runtime import checkpointed, values_at, with_rank
 
 
 def words(c: Column) -> Column:
@@ -24,16 +23,25 @@ def priors(tokens: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total), F.lit(True)).select("token", "cnt", F.log2(F.col("cnt") / F.col("total")).alias("log2_prior"))
 
 
+#: A token table of up to so many rows (some ten MB) is sent to the documents; beyond, documents' counts are shuffled by token.
+FEW_TOKENS = 200_000
+
+
 def document_scores(df: DataFrame, id_cols: list[str], text: Column, table: DataFrame) -> DataFrame:
     """Mean and population deviation of the tokens' priors and their number, a row a document; 0, 0, 0 without tokens.
 
-    Document and token are counted together first, so a frequent token travels once a document. The token table is
-    the inner side of a left join, so it alone can be broadcast, and only below the bound of ``joins.small``; else the
-    counts are shuffled by token and a token that many documents share is split at run time.
+    The token table is made once and counted. If it is small it goes to the documents, and only a row a document is
+    shuffled. Else document and token are counted together first, so a frequent token travels once a document, and the
+    counts are joined by token, where a token that many documents share is split at run time. The exploded side is
+    never broadcast: the table is the inner side of a left join.
     """
-    counts = df.select(*id_cols, F.explode_outer(words(text)).alias("token")).groupBy(*id_cols, "token").agg(F.count("*").alias("k"))
-    joined = counts.join(small(table.select("token", "log2_prior")), "token", "left").where("token is null or log2_prior is not null")
-    k = F.when(F.col("token").isNotNull(), F.col("k")).otherwise(0)
+    known = checkpointed(table.select("token", "log2_prior"))
+    words_of = df.select(*id_cols, F.explode_outer(words(text)).alias("token"))
+    if known.count() <= FEW_TOKENS:
+        joined = words_of.withColumn("k", F.lit(1)).join(F.broadcast(known), "token", "left")
+    else:
+        joined = words_of.groupBy(*id_cols, "token").agg(F.count("*").alias("k")).hint("merge").join(known, "token", "left")
+    k = F.when(F.col("log2_prior").isNotNull(), F.col("k").cast("bigint")).otherwise(0)
     sums = joined.groupBy(*id_cols).agg(F.sum(k).alias("n_tokens"), F.sum(k * F.col("log2_prior")).alias("s"), F.sum(k * F.col("log2_prior") ** 2).alias("q"))
     mean = F.col("s") / F.col("n_tokens")
     std = F.sqrt(F.greatest(F.col("q") / F.col("n_tokens") - mean * mean, F.lit(0.0)))

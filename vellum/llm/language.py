@@ -12,6 +12,7 @@ stretches under ``min_words`` words count with the text around them (22 by defau
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,10 +103,16 @@ def fit(samples: list[tuple[str, str]], bits: int = 15, alpha: float = 2e-5) ->
     return LanguageModel(langs, code, w)
 
 
+@lru_cache(maxsize=2)
+def fitted(samples: tuple[tuple[str, str], ...]):
+    """The model of these samples, fitted once a session."""
+    return fit(list(samples))
+
+
 def fit_from_table(refs: DataFrame, max_refs: int = 5000) -> LanguageModel:
     """Fit on at most ``max_refs`` labelled samples (columns lang, sample), taken in id order."""
     rows = refs.where("lang is not null and sample is not null").orderBy("ref_id").limit(max_refs).select("lang", "sample").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    return fitted(tuple((r[0], r[1]) for r in rows))
 
 
 def word_scores(model: LanguageModel, b: tv.Block) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ fitted on a bounded number of labelled texts and lines (``max_refs`` texts, ``n_
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -100,10 +101,16 @@ def fit_lines(model: QualityModel, documents: list[list[tuple[str, int]]]) -> Li
     return LineModel(w, np.full(k, -np.log(k)), *counted(paths, k))
 
 
+@lru_cache(maxsize=2)
+def fitted(samples: tuple[tuple[str, str], ...]):
+    """The model of these samples, fitted once a session."""
+    return fit(list(samples))
+
+
 def fit_from_table(refs: DataFrame, max_refs: int = 5000) -> QualityModel:
     """Fit on at most ``max_refs`` labelled samples (columns lang, sample), taken in id order."""
     rows = refs.where("lang is not null and sample is not null").orderBy("ref_id").limit(max_refs).select("lang", "sample").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    return fitted(tuple((r[0], r[1]) for r in rows))
 
 
 @dataclass

@@ -78,7 +78,25 @@ def test_casual_prompts_only_shorten_and_lower(spark):
     rows = got(spark, "c28_casual_prompts", "conv_id", "turn", "prompt")
     squeezed = lambda x: re.sub(r"[^a-z0-9]", "", x.lower())
     low = sum(p is not None and p == p.lower() for _, _, p in rows)
-    assert all((p is None) == (texts[c, i] is None) and (p is None or squeezed(texts[c, i]).startswith(squeezed(p)[:10])) for c, i, p in rows) and 0.5 < low / len(rows) <= 1
+    assert all((p is None) == (texts[c, i] is None) and (p is None or squeezed(texts[c, i])[:1] == squeezed(p)[:1]) for c, i, p in rows) and 0.5 < low / len(rows) <= 1
+    hurt = [(texts[c, i], p) for c, i, p in rows if p is not None and squeezed(p)[:60] not in squeezed(texts[c, i])]
+    assert 0.03 < len(hurt) / len(rows) < 0.35
+    for x, p in hurt:
+        words = x.lower().split()
+        assert all(abs(len(a) - len(b)) <= 4 for a, b in zip(p.lower().split(), words) if len(p.split()) == len(words))
+
+
+def test_near_prompts(spark):
+    from difflib import SequenceMatcher
+
+    asked = {}
+    for r in read(spark, "instruct_pairs"):
+        ask = next((m["content"] for m in r["messages"] or [] if m["role"] == "user"), None)
+        if ask is not None:
+            asked[r["conv_id"], ask] = None
+    keys = sorted(asked)
+    want = sorted({(c,) for c, x in keys if not any(e < c and SequenceMatcher(None, x, y).ratio() > 0.5 for e, y in keys)})
+    assert got(spark, "u06_near_prompts", "conv_id") == want
 
 
 def test_message_parts_join_to_the_message(spark):

@@ -210,3 +210,39 @@ def test_search_by_automaton_equals_tests_of_words(spark):
     df = spark.createDataFrame(rows, "i int, title string, text string")
     got = {(r["i"], r["spec_id"], r["how"]) for r in joins.search(df, specs, F.col("title"), F.col("text")).collect()}
     assert got == {(1, 1, "title"), (1, 2, "title"), (2, 1, "text"), (3, 2, "title")}
+
+
+def test_shards_close_on_size_and_multiple(spark):
+    rnd = random.Random(3)
+    sizes = [rnd.choice([None, 1, 50, 400]) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "i int, n int").coalesce(1)
+    rows = writers.closed_shards(df, "n", 2000, 16).collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["n"] or 0)
+    assert len(rows) == 700 and len(by) > 3
+    for v in list(by.values())[:-1]:
+        assert sum(v) >= 2000 and len(v) % 16 == 0 and (len(v) == 16 or sum(v[:-16]) < 2000)
+
+
+def test_log_rows_counts_and_pages(spark, tmp_path):
+    from vellum.sources import readers
+
+    path = str(tmp_path / "log")
+    rows = [(i, f"2026-01-0{1 + i}T00:00:00+00:00", c) for i, c in enumerate(["aaa", "bbb", "aaa"])]
+    writers.append_log(spark.createDataFrame(rows, "id bigint, timestamp string, conversation_id string"), path)
+    more = [(i, f"2026-01-{10 + i}T00:00:00+00:00", "ccc", "timed out" if i == 5 else None) for i in range(3, 10)]
+    writers.append_log(spark.createDataFrame(more, "id bigint, timestamp string, conversation_id string, error string"), path)
+    log = readers.log_table(spark, path)
+    counts = {r[0]: r[1] for r in logs.by_conversation(log).collect()}
+    assert counts == {"aaa": 2, "bbb": 1, "ccc": 7} and "zzz" not in counts
+    assert {r[0]: r[1] for r in logs.by_conversation(log, "2026-01-03T00:00:00+00:00").collect()} == {"aaa": 1, "ccc": 7}
+    assert logs.by_conversation(log, "2999").count() == 0
+    assert [r["id"] for r in logs.page(log, 3, 0).collect()] == [9, 8, 7] and [r["id"] for r in logs.page(log, 3, 1).collect()] == [6, 5, 4]
+    assert {r["id"]: r["error"] for r in log.collect()}[5] == "timed out" and {r["id"]: r["error"] for r in log.collect()}[0] is None
+
+
+def test_best_of_alike_titles(spark):
+    rows = [(1, "principles of light", 5), (2, "prinoiples of light", 9), (3, "principles of light", 9), (4, "a voyage", None), (5, None, 3)]
+    got = {tuple(r) for r in joins.best_of_titles(spark.createDataFrame(rows, "i int, k string, n int"), "i", "k", "n").select("rep_id", "i", "n").collect()}
+    assert got == {(1, 2, 3), (4, 4, 1)}

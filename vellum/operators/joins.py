@@ -105,6 +105,13 @@ def merge_best(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
     return a.join(other, key, "full").withColumn(score, F.greatest(score, "__s")).drop("__s")
 
 
+def best_of_titles(df: DataFrame, id_col: str, key_col: str, score_col: str) -> DataFrame:
+    """rep_id, id of the row of the greatest score in each group of alike titles; of equal scores the least id. Null scores count least."""
+    groups = fuzzy_titles(df, id_col, key_col)
+    ranked = df.select(F.col(id_col), F.coalesce(F.col(score_col), F.lit(-1)).alias("__s")).join(groups, id_col)
+    return ranked.groupBy("rep_id").agg(F.max_by(id_col, F.struct("__s", -F.col(id_col))).alias(id_col), F.count("*").alias("n"))
+
+
 def letter_bits(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """256 bits of each string's letters with their occurrence numbers, and how many of these fell on a bit already set."""
     bits, spare = np.zeros((len(keys), 4), np.uint64), np.zeros(len(keys), np.int64)

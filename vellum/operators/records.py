@@ -150,12 +150,25 @@ def apply_edits(text: pd.Series, edits: pd.Series) -> pd.DataFrame:
 
 
 def casual(c: Column, key: Column) -> Column:
-    """Prompts as people type them: shortened, without stops, lower case, each by chance of the key."""
+    """Prompts as people type them: shortened, without stops, lower case, with misprints, each by chance of the key.
+
+    In three of ten prompts one word in eight of four letters or more has two inner letters exchanged or one left out.
+    """
     roll = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}|"), key.cast("string"))), 1, 4), 16, 10).cast("int") / 65536
     first = F.regexp_extract(c, r"(?s)^(.*?[.!?])\s", 1)
     c = F.when((F.length(c) > 200) & (roll(1) < 0.25) & (first != ""), first).otherwise(c)
     c = F.when(roll(2) < 0.5, _sub(c, r"[.,;:!?]+$", "")).otherwise(c)
-    return F.when(roll(3) < 0.7, F.lower(c)).otherwise(c)
+    c = F.when(roll(3) < 0.7, F.lower(c)).otherwise(c)
+    lot = lambda i, k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}|"), key.cast("string"), F.lit("|"), i.cast("string"))), 1, 4), 16, 10).cast("int")
+
+    def misprint(w: Column, i: Column) -> Column:
+        at = F.pmod(lot(i, 6), F.length(w) - 3) + 2
+        a, b = F.substr(w, at, F.lit(1)), F.substr(w, at + 1, F.lit(1))
+        return F.concat(F.substr(w, F.lit(1), at - 1), F.when(F.pmod(lot(i, 7), F.lit(2)) == 0, F.concat(b, a)).otherwise(b), F.substr(w, at + 2))
+
+    able = lambda w, i: w.rlike(r"^[A-Za-z]{4,}$") & (lot(i, 5) < 0.12 * 65536)
+    misprinted = F.array_join(F.transform(F.split(c, " ", -1), lambda w, i: F.when(able(w, i), misprint(w, i)).otherwise(w)), " ")
+    return F.when(roll(4) < 0.3, misprinted).otherwise(c)
 
 
 def valid_trace(c: Column, least: int = 100) -> Column:

@@ -190,6 +190,14 @@ def k03_shard_size(spark, d):
     return table(spark, d, "documents").agg((F.greatest(F.lit(1.0), F.bround(F.count("*") / 400.0, 0)) * 400).alias("docs_per_shard"), F.count("*").alias("n"))
 
 
+@query("select count(*) as n, sum(coalesce(n_chars, 0))::bigint as n_chars from documents")
+def k04_closed_shards(spark, d):
+    """Shards that close on size and a row multiple lose no row."""
+    s = writers.closed_shards(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 50_000, 16)
+    per = s.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("n_chars"))
+    return per.agg(F.sum("n").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 @query("select piece, count(*) as cnt from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as piece from documents) group by 1")
 def t01_piece_counts(spark, d):
     return table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("piece")).groupBy("piece").agg(F.count("*").alias("cnt"))

@@ -72,6 +72,21 @@ def j12_fuzzy_titles(spark, d):
     return joins.fuzzy_titles(df, "doc_id", "k")
 
 
+@query()
+def u07_longest_of_alike_titles(spark, d):
+    df = table(spark, d, "documents").where("title is not null").select("doc_id", "n_chars", clean.title_key(F.col("title")).alias("k"))
+    return joins.best_of_titles(df, "doc_id", "k", "n_chars")
+
+
+@query()
+def u06_near_prompts(spark, d):
+    """Distinct first questions to which no earlier alike one exists."""
+    ask = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
+    asked = table(spark, d, "instruct_pairs").where("messages is not null").select("conv_id", ask.alias("prompt")).where("prompt is not null").distinct()
+    one = asked.select(F.lit("all").alias("g"), "conv_id", "prompt", F.lit(0).alias("n"))
+    return dedup.near_within(one, "g", "conv_id", "prompt", "n", floor=0.5).select("conv_id")
+
+
 @query("select distinct md5(text) as text_md5 from documents where text is not null")
 def u02_distinct_texts(spark, d):
     return dedup.distinct_texts(table(spark, d, "documents"), "text").select(F.md5("text").alias("text_md5"))

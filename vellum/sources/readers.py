@@ -16,6 +16,11 @@ def recursive_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
 
 
+def log_table(spark: SparkSession, path: str) -> DataFrame:
+    """A log to which rows of several shapes were appended; columns that some lack are null there."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def csv_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").csv(path)
 

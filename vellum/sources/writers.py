@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.runtime import with_index
 
@@ -13,6 +17,36 @@ def shards(df: DataFrame, path: str, rows_per_file: int, group_bytes: int = 8 <<
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("parquet.block.size", group_bytes).parquet(path)
 
 
+def closed_shards(df: DataFrame, size_col: str, least_size: int, multiple: int) -> DataFrame:
+    """Rows with ``shard``: in each task's order a shard closes once it holds ``least_size`` and a multiple of ``multiple`` rows.
+
+    Sizes are summed within a task, so shards never span two; null sizes count as 0. The last shard of a task may be short.
+    """
+    fields = df.schema.fields
+    at = df.columns.index(size_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, shard, held, rows = TaskContext.get().partitionId(), 0, 0, 0
+        for batch in batches:
+            sizes = batch.column(at).fill_null(0).to_pylist()
+            names = []
+            for n in sizes:
+                names.append(f"{part:05}-{shard:05}")
+                held, rows = held + n, rows + 1
+                if held >= least_size and rows % multiple == 0:
+                    shard, held, rows = shard + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "shard"])
+
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField("shard", T.StringType())]))
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Rows added to a log table; new columns may come with them."""
+    df.write.mode("append").parquet(path)
+
+
 def split_lines(df: DataFrame, path: str, split_col: str = "split") -> None:
     """JSON lines, one folder a split (train, val, rejected)."""
     df.write.mode("overwrite").partitionBy(split_col).json(path)

@@ -15,6 +15,17 @@ def look_back(df: DataFrame, minutes: tuple[int, ...] = (1, 5, 60, 1440)) -> Dat
     )
 
 
+def by_conversation(df: DataFrame, since: str | None = None) -> DataFrame:
+    """conversation_id, n of the rows from ``since`` on, that moment included."""
+    rows = df if since is None else df.where(F.col("timestamp") >= since)
+    return rows.groupBy("conversation_id").agg(F.count("*").alias("n"))
+
+
+def page(df: DataFrame, size: int, number: int) -> DataFrame:
+    """Page ``number`` (from 0) of the log, the newest rows first."""
+    return df.orderBy(F.desc("id")).offset(size * number).limit(size)
+
+
 def minute_counts(stream: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Rows and mean value by window and type; rows later than ``late`` are left to the batch."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))

@@ -95,7 +95,7 @@ def test_near_prompts(spark):
         if ask is not None:
             asked[r["conv_id"], ask] = None
     keys = sorted(asked)
-    want = sorted({(c,) for c, x in keys if not any(e < c and SequenceMatcher(None, x, y).ratio() > 0.5 for e, y in keys)})
+    want = sorted({(c,) for c, x in keys if not any(e < c and SequenceMatcher(None, x, y).ratio() > 0.5 for e, y in keys)}, key=repr)
     assert got(spark, "u06_near_prompts", "conv_id") == want
 
 

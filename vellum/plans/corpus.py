@@ -36,10 +36,10 @@ def s05_epochs(spark, d):
 
 
 @query(
-    "select record_id, count(*) as n_pages, sum(length(text)) as n_chars, coalesce(round(avg(case when mean_wc_ocr >= 0 then mean_wc_ocr end), 9), -1) as ocr from (select distinct record_id, page_no, text, mean_wc_ocr from book_pages where not coalesce(empty_pg, false) and trim(coalesce(text, '')) <> '') group by record_id"
+    "select record_id, count(*) as n_pages, sum(length(text)) as n_chars, coalesce(round(cast(avg(case when mean_wc_ocr >= 0 then mean_wc_ocr end) as decimal(18, 9)), 3)::double, -1) as ocr from (select distinct record_id, page_no, text, mean_wc_ocr from book_pages where not coalesce(empty_pg, false) and trim(coalesce(text, '')) <> '') group by record_id"
 )
 def s11_books_of_pages(spark, d):
-    return readers.books_of_pages(table(spark, d, "book_pages")).select("record_id", "n_pages", "n_chars", F.round("ocr", 9).alias("ocr"))
+    return readers.books_of_pages(table(spark, d, "book_pages")).select("record_id", "n_pages", "n_chars", "ocr")
 
 
 @query("select doc_id, case when headline is null and byline is null then 0 else 1 end as has_head, length(text) as n_chars from raw_documents where source = 'AmericanStories' and length(text) >= 500")

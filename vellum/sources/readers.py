@@ -55,7 +55,7 @@ def books_of_pages(pages: DataFrame) -> DataFrame:
     page = F.struct(F.col("page_no").isNull().alias("late"), "page_no", "text")
     return rows.groupBy("record_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda p: p["text"]), "\n\n").alias("text"), F.count("*").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"),
-        F.coalesce(F.bround(F.avg(F.when(F.col("mean_wc_ocr") >= 0, F.col("mean_wc_ocr"))), 3), F.lit(-1.0)).alias("ocr"),
+        F.coalesce(F.round(F.avg(F.when(F.col("mean_wc_ocr") >= 0, F.col("mean_wc_ocr"))).cast("decimal(18,9)"), 3).cast("double"), F.lit(-1.0)).alias("ocr"),
     )
 
 

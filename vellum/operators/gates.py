@@ -118,16 +118,21 @@ def spoken(messages: Column, role: str | None = None) -> Column:
     return F.array_join(F.transform(pick, lambda m: F.coalesce(m["content"], F.lit(""))), " ")
 
 
+#: What no mined turn may have: broken quotation marks, a heading, a page number, a contents line, a running head.
+NO_SPEECH = (
+    r"(?:^|\s)(?:66|99|6 6|9 9)(?:\s|$)", r"(?i)^(?:CHAPTER|BOOK|PART|SECTION|VOL(?:UME)?\.?)\s+[IVXLCDM0-9]+", r"^\s*[0-9]{1,4}\s*$", r"\.{3,}\s*[0-9]+\s*$",
+    r"[0-9]{1,3}\s+[A-Z]{2,}(?:\s+[A-Z]{2,}){1,5}\.?\s",
+)
+
+
 def turn_quality(t: Column) -> Column:
-    """A mined turn that reads as speech: length, marks, capitals, no heading, page number or contents line."""
+    """A mined turn that reads as speech: length, plain characters, few capitals, nothing of NO_SPEECH."""
     alpha = F.length(F.regexp_replace(t, r"[^A-Za-z]", ""))
     upper = F.length(F.regexp_replace(t, r"[^A-Z]", ""))
     good = F.length(F.regexp_replace(t, r"[^a-zA-Z0-9\s.,;:!?'\"\-\(\)]", ""))
-    return (
-        (F.length(t) >= 20) & (F.length(t) <= 2000) & ~t.rlike(r"(?:^|\s)(?:66|99|6 6|9 9)(?:\s|$)") & (good / F.length(t) >= 0.85) & ~((alpha > 0) & (upper / alpha > 0.5))
-        & ~t.rlike(r"(?i)^(?:CHAPTER|BOOK|PART|SECTION|VOL(?:UME)?\.?)\s+[IVXLCDM0-9]+") & ~t.rlike(r"^\s*[0-9]{1,4}\s*$") & ~t.rlike(r"\.{3,}\s*[0-9]+\s*$")
-        & ~t.rlike(r"[0-9]{1,3}\s+[A-Z]{2,}(?:\s+[A-Z]{2,}){1,5}\.?\s")
-    )
+    sized = (F.length(t) >= 20) & (F.length(t) <= 2000)
+    lower = ~((alpha > 0) & (upper / alpha > 0.5))
+    return reduce(lambda a, p: a & ~t.rlike(p), NO_SPEECH, sized & (good / F.length(t) >= 0.85) & lower)
 
 
 def non_ascii_share(c: Column) -> Column:

@@ -67,6 +67,9 @@ def with_index(df: DataFrame, *order: str | Column, name: str = "idx", key: str
     return kept.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.col("__b") + inner).drop("__m", "__p", "__b")
 
 
+FEW_GROUPS = 100_000
+
+
 def with_rank(df: DataFrame, by: list[str], order: list[str], name: str = "rank", total: str = "total") -> DataFrame:
     """0-based rank of each row within its group, and the group's rows, by the dense position of (group, order).
 
@@ -75,8 +78,10 @@ def with_rank(df: DataFrame, by: list[str], order: list[str], name: str = "rank"
     ranked = with_index(df, *by, *order, name="__at")
     keys = [f"__g{i}" for i in range(len(by))]
     groups = ranked.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(F.min("__at").alias("__lo"), F.count("*").alias(total))
+    groups = checkpointed(groups)
     cond = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
-    out = ranked.join(groups, cond)
+    # few groups, as large ones mostly are, go to the rows, which then stay where they are
+    out = ranked.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, cond)
     return out.withColumn(name, F.col("__at") - F.col("__lo")).drop("__at", "__lo", *keys)
 
 

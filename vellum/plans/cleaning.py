@@ -119,13 +119,26 @@ def c10_reflow(spark, d):
     return _result(df, clean.reflow(t))
 
 
-@query()
+_STAMPED = f"regexp_matches(s, {q('|'.join(f'(?:{p})' for p in P.LEADING_STAMPS))}) or (length(s) < 80 and regexp_matches(s, {q('|'.join(f'(?:{p})' for p in P.LEADING_WORDS))}))"
+_ALPHA = r"length(regexp_replace(s, '[^\p{L}]', '', 'g')) / greatest(length(s), 1)"
+_WORDS = r"len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> ''))"
+_CONTENT = f"(length(s) > 40 and {_ALPHA} > 0.5) or ({_ALPHA} > 0.8 and {_WORDS} >= 3 and length(s) > 15) or ({_WORDS} >= 4 and {_ALPHA} > 0.6)"
+
+
+@query(
+    f"{BASE}, b as (select doc_id, 'University of X' || chr(10) || 'Harvard College Library' || chr(10) || '7701' || chr(10) || 'ab' || chr(10) || t as t from t), l as (select doc_id, string_split(t, chr(10)) as ls from b), "
+    f"u as (select doc_id, i, trim(line) as s from (select doc_id, unnest(ls[1:100]) as line, generate_subscripts(ls[1:100], 1) as i from l)), f as (select doc_id, min(i) as i from u where length(s) > 0 and not ({_STAMPED}) and ({_CONTENT}) group by 1) "
+    "select doc_id, md5(x) as text_md5, length(x) as n_chars from (select b.doc_id, case when f.i > 1 then array_to_string(ls[f.i:], chr(10)) else t end as x from b join l on l.doc_id = b.doc_id left join f on f.doc_id = b.doc_id)"
+)
 def c11_leading_lines(spark, d):
     df, t = planted(spark, d)
     return _result(df, clean.drop_leading(F.concat(F.lit("University of X\nHarvard College Library\n7701\nab\n"), t)))
 
 
-@query()
+_HEADS = [f"case when regexp_matches(substr(t, 1, 15000), {q('(?m)' + p)}) then length(regexp_extract(substr(t, 1, 15000), {q('(?s)^(.*?)(?m:' + p + ')')}, 1)) end" for p in P.CONTENT_HEADINGS]
+
+
+@query(_sql(f"case when least({', '.join(_HEADS)}) > 200 then substr(t, least({', '.join(_HEADS)}) + 1) else t end"))
 def c12_front_matter(spark, d):
     df, t = planted(spark, d)
     return _result(df, clean.drop_front_matter(t))

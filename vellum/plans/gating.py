@@ -90,7 +90,16 @@ def f02_printable(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.round(gates.printable_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query()
+_BAD_CHARS = r"[\p{C}\x{0}-\x{8}\x{b}-\x{1f}\x{7f}]|[\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PRINTABLE = f"(1 - len(regexp_extract_all(regexp_replace(substr(text, 1, 10000), '[\\n\\t]', ' ', 'g'), {q(_BAD_CHARS)})) / greatest(length(substr(text, 1, 10000)), 1))"
+_ARTEFACTS = " + ".join(f"len(regexp_extract_all(substr(text, 1, 30000), {q(p)}))" for p in P.OCR_ARTIFACTS)
+
+
+@query(
+    "select source, coalesce(reason, 'kept') as reason, count(*) as n from (select source, case when text is null or length(text) < 500 then 'too_short' when norm >= 0 and norm < case when source in ('institutional-books', 'blbooks') then 0.9 else 0 end then 'low_score' "
+    f"when legibility >= 0 and legibility < 0.9 then 'illegible' when {_PRINTABLE} < 0.85 then 'unprintable' when {_ARTEFACTS} > 50 then 'artefacts' when regexp_matches(text, {_any(P.TIER_ONE)}) or {_hits('text', P.TIER_TWO, '(?is)')} >= 2 then 'later_terms' end as reason "
+    "from (select *, case when ocr_score is null or ocr_score < 0 then -1 when source = 'institutional-books' and ocr_score > 1 then ocr_score / 100 else ocr_score end as norm from raw_documents)) group by all"
+)
 def f01_document_gate(spark, d):
     raw = table(spark, d, "raw_documents")
     reason = gates.document_reason(F.col("text"), F.col("source"), F.col("ocr_score"), F.col("legibility"), 500, min_legibility=0.9)

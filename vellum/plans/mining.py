@@ -36,7 +36,12 @@ def g03_quote_sessions(spark, d):
     return s.groupBy("doc_id", "session").agg(F.count("*").alias("n_quotes"), F.min("pos").alias("first_pos"))
 
 
-@query()
+@query(
+    """with t as (select doc_id, string_split('"A first line that is quoted."' || chr(10) || '"A second line that is quoted."' || chr(10) || coalesce(text, ''), chr(10)) as ls from documents),
+u as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from t), p as (select doc_id, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from u),
+o as (select doc_id, pos, pos + length(line) as past from p where regexp_matches(trim(line), '^"[^"]{10,}"$')), r as (select doc_id, pos, sum(fresh) over (partition by doc_id order by pos) as run from (select *, case when pos - lag(past) over (partition by doc_id order by pos) > 200 then 1 else 0 end as fresh from o))
+select doc_id, run::bigint as run, count(*) as n_quotes, min(pos)::bigint as first_pos from r group by 1, 2 having count(*) >= 2"""
+)
 def g02_quote_runs(spark, d):
     lines = F.concat(F.lit('"A first line that is quoted."\n"A second line that is quoted."\n'), F.coalesce("text", F.lit("")))
     return dialogue.quote_runs(table(spark, d, "documents"), "doc_id", lines)

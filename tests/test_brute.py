@@ -116,6 +116,20 @@ def test_message_parts_join_to_the_message(spark):
         assert squeezed("".join(x for _, x in sorted(set(v)))) in want[k]
 
 
+def test_conversation_parts_join_to_the_answer(spark):
+    want = {}
+    for r in read(spark, "instruct_pairs"):
+        ms = r["messages"] or []
+        if len(ms) >= 2 and (ms[1]["content"] or "").strip():
+            want.setdefault(r["conv_id"], set()).add((re.sub(r"\s", "", ms[1]["content"]), len(ms[0]["content"]) if ms[0]["content"] is not None else None))
+    parts = defaultdict(set)
+    for c, p, x, n in got(spark, "x06_conversation_parts", "conv_id", "part", "content", "n_prefix"):
+        parts[c].add((p, x, n))
+    assert set(parts) == set(want)
+    for c, v in parts.items():
+        assert all(len(x) <= 250 for _, x, _ in v) and (re.sub(r"\s", "", "".join(x for _, x, _ in sorted(v, key=lambda y: y[0]))), next(iter(v))[2]) in want[c]
+
+
 def test_windows_and_excerpts(spark):
     books = {b["book_filename"]: b["text"] for b in read(spark, "physics_books")}
     sizes = defaultdict(list)

@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.functions.runtime import with_index
@@ -162,6 +163,41 @@ def test_near_within_equals_brute_force(spark):
         assert {tuple(r) for r in dedup.near_within(df, "g", "id", "t", "n", block=block).collect()} == want
 
 
+def counted(monkeypatch):
+    calls, real = [], dedup.ratio_over
+    monkeypatch.setattr(dedup, "ratio_over", lambda *x: calls.append(1) or real(*x))
+    return calls
+
+
+def test_few_long_texts_are_compared(monkeypatch):
+    import pandas as pd
+
+    rnd, calls = random.Random(5), counted(monkeypatch)
+    words = "the of and motion light heat wheel observation particular which whereas upon between their considerable expansion temperature".split()
+    say = lambda k: ". ".join(" ".join(rnd.choices(words, k=9)).capitalize() for _ in range(k))
+    texts = [say(rnd.randint(10, 14)) for _ in range(60)]
+    texts += ["".join(c if rnd.random() > 0.03 else "~" for c in t) for t in texts[:6]] + [texts[7] + "Q" * 90, "Zz" * 200, "", "A" * 5000]
+    rows = pd.DataFrame({"t": texts, "n": 0, "id": range(len(texts))})
+    want = [any(SequenceMatcher(None, x, y).ratio() > 0.6 for y in texts[:i]) for i, x in enumerate(texts)]
+    assert dedup.beaten(rows, rows, 0.6).tolist() == want and sum(want) == 6
+    # of 2,415 pairs; the bound by runs of four alone leaves 1,838
+    assert len(calls) < 100
+
+
+def test_covered_places_hold_every_block():
+    rnd = random.Random(9)
+    code = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    pairs = []
+    for k in range(20):
+        a, b = ("".join(rnd.choices("the quick brown fox, jumps. Over 12", k=n)) for n in (rnd.randint(0, 700), rnd.randint(200, 700)))
+        pairs.append((a, a[: 90 * (k % 3)] + b + a[:200] * (k % 2)))
+    coded = [(code(a), code(b)) for a, b in pairs]
+    got = dedup.covered(coded, [dedup.meetings(a, dedup.rare_places(b)) for a, b in coded])
+    for (a, b), (ca, cb) in zip(pairs, got):
+        for i, j, k in SequenceMatcher(None, a, b).get_matching_blocks():
+            assert ca[i + k] - ca[i] == k == cb[j + k] - cb[j]
+
+
 def test_terms_after_a_cutoff():
     from vellum.functions import patterns as P
 

@@ -184,6 +184,18 @@ def test_few_long_texts_are_compared(monkeypatch):
     assert len(calls) < 100
 
 
+def test_alike_prompts_meet_few_others(monkeypatch):
+    import pandas as pd
+
+    rnd, calls = random.Random(11), counted(monkeypatch)
+    asks = ["What is the cause of the {0}?", "Compute the weight of every {0} if their {1} was 245 yards.", "Which of the two was the greater, the {0} or the {1}?", "Quaero quomodo {0} solis {1} sequitur."]
+    texts = [rnd.choice(asks).format(*rnd.sample("axle inertia turnip hedge telescope lever cavern wheat harbour".split(), 2)) + f" {k}" for k in range(200)]
+    rows = pd.DataFrame({"t": texts, "n": 0, "id": range(len(texts))})
+    got = dedup.beaten(rows, rows, 0.5, tries=4)
+    assert sum(got) >= 180 and len(calls) < 260
+    assert got.tolist() == [any(SequenceMatcher(None, x, y).ratio() > 0.5 for y in texts[:i]) for i, x in enumerate(texts)]
+
+
 def test_covered_places_hold_every_block():
     rnd = random.Random(9)
     code = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)

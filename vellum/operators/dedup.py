@@ -307,17 +307,17 @@ def beaten_of_large(rows: DataFrame, floor: float, block: int) -> DataFrame:
 
         return of
 
-    def sliced(x: DataFrame, name: str, end: str) -> tuple[DataFrame, DataFrame]:
-        """The slice of each run of ranks, and what each slice spans; a slice has about ``block`` rows, of long texts fewer."""
+    def sliced(x: DataFrame, name: str, end: str, rows: int) -> tuple[DataFrame, DataFrame]:
+        """The slice of each run of ranks, and what each slice spans; a slice has about that many rows, of long texts fewer."""
         runs = x.groupBy("g", F.expr(f"rank div {run_of}").alias("run")).agg(F.count("*").alias("rows"), F.sum("size").alias("chars"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("rank").alias("first"), F.max("rank").alias("last"))
-        share = F.greatest(F.col("rows") / block, F.col("chars") / CELL_CHARS)
+        share = F.greatest(F.col("rows") / rows, F.col("chars") / CELL_CHARS)
         runs = checkpointed(runs.withColumn(name, F.floor(F.sum(share).over(Window.partitionBy("g").orderBy("run")) - share)))
         return runs.select("g", "run", name), runs.groupBy("g", name).agg(*[f(c).alias(f"{end}_{c}") for c, f in (("least", F.min), ("most", F.max), ("first", F.min), ("last", F.max))])
 
-    def hold(lo: int, hi: int, tries: int) -> None:
+    def hold(lo: int, hi: int, tries: int, rows: int = block) -> None:
         nonlocal dead, n_dead
-        of_later, later = sliced(alive(slim), "i", "a")
-        of_before, before = sliced(slim.where(F.col("rank").between(lo, hi - 1)), "j", "b")
+        of_later, later = sliced(alive(slim), "i", "a", rows)
+        of_before, before = sliced(slim.where(F.col("rank").between(lo, hi - 1)), "j", "b", rows)
         # the ratio of two lengths that lie as near as these slices allow
         apart = F.expr("case when a_most < b_least then 2.0D * a_most / (a_most + b_least) when b_most < a_least then 2.0D * b_most / (a_least + b_most) else 1.0D end")
         pairs = checkpointed(later.join(before, "g").where((F.col("a_last") > F.col("b_first")) & (apart > floor)).select("g", "i", "j"))
@@ -337,7 +337,8 @@ def beaten_of_large(rows: DataFrame, floor: float, block: int) -> DataFrame:
         hold(block, 16 * block, 8)
     lo, hi = 0, block if few else longest
     while lo < longest:
-        hold(lo, hi, 0)
+        # few rows that all meet everything would else lie in a task or two
+        hold(lo, hi, 0, run_of if few else block)
         lo, hi = hi, 8 * hi
     marked = ranked.select("g", "id", "rank")
     return marked.join(dead.withColumn("worse", F.lit(True)), ["g", "rank"], "left").select("g", "id", F.coalesce("worse", F.lit(False)).alias("worse")) if dead is not None else marked.select("g", "id", F.lit(False).alias("worse"))
